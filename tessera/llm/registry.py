@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from tessera.llm.mixing import OP7_SQL, op7_curriculum_mix
+from tessera.llm.sharding import op6_ring_shards
 from tessera.llm.simhash import op1_simhash
 
-QUERIES = {"op1_simhash": op1_simhash}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op6_ring_shards": op6_ring_shards, "op7_curriculum_mix": op7_curriculum_mix}
+ORACLE_SQL: dict[str, str] = {"op7_curriculum_mix": OP7_SQL}
