@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessera.llm.ann import op3_rotated_codes
+from tessera.llm.imatch import OP10_SQL, op10_imatch
 from tessera.llm.language import op8_language_id
 from tessera.llm.mixing import OP7_SQL, op7_curriculum_mix
 from tessera.llm.packing import op2_best_fit_packing
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_curriculum_mix": op7_curriculum_mix,
     "op8_language_id": op8_language_id,
     "op9_capture_histories": op9_capture_histories,
+    "op10_imatch": op10_imatch,
 }
-ORACLE_SQL: dict[str, str] = {"op7_curriculum_mix": OP7_SQL, "op9_capture_histories": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_curriculum_mix": OP7_SQL, "op9_capture_histories": OP9_SQL, "op10_imatch": OP10_SQL}
