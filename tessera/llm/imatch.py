@@ -30,8 +30,8 @@ from tessera.llm.runtime import table, written
 
 #: The band: in one of RARE documents at least, in two of five at most.
 RARE, COMMON = 500, (2, 5)
-#: Lexicon subsets, each with one of 64 terms.
-SUBSETS = 32
+#: Lexicon subsets: the k-th has the terms whose SHA-256 has one of CHOSEN as its k-th byte, one in 128.
+SUBSETS, CHOSEN = 32, ("00", "80")
 RANGE_ROWS, MAX_RANGES = 512, 8192
 _MOST = (1 << 63) - 1
 
@@ -44,12 +44,14 @@ def terms(text: Column) -> Column:
 def lexicon(docs: DataFrame, n: int, text_col: str = "text", subsets: int = SUBSETS) -> DataFrame:
     """(term, mask): terms of the band that are in some subset; bit k of mask for subset k."""
     counts = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").count()
-    band = counts.where((F.col("count") * RARE >= n) & (F.col("count") * COMMON[1] <= n * COMMON[0])).select("term")
-    bits = [F.when(F.substring(F.md5(F.concat(F.lit(f"{k}:"), "term")), 1, 2).isin("00", "40", "80", "c0"), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k in range(subsets)]
-    mask = bits[0]
-    for b in bits[1:]:
-        mask = mask.bitwiseOR(b)
-    return written(band.withColumn("mask", mask).where("mask <> 0"), "lexicon")
+    band = counts.where((F.col("count") * RARE >= n) & (F.col("count") * COMMON[1] <= n * COMMON[0]))
+    band = written(band.select("term", F.sha2("term", 256).alias("sha")), "band")  # so that nothing below runs on terms outside the band
+
+    def more(mask: Column, k: Column) -> Column:
+        return F.when(F.substring("sha", 2 * k + 1, F.lit(2)).isin(*CHOSEN), mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))).otherwise(mask)
+
+    mask = F.aggregate(F.sequence(F.lit(0), F.lit(subsets - 1)), F.lit(0).cast("long"), more)
+    return band.select("term", mask.alias("mask")).where("mask <> 0")
 
 
 def hashes(found: Column, subsets: int = SUBSETS) -> Column:
@@ -144,7 +146,7 @@ t AS (SELECT place, 0 AS which, unnest(list_distinct(list_filter(regexp_split_to
       UNION ALL
       SELECT place, 1, unnest(list_distinct(list_filter(regexp_split_to_array(lower(edited), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) FROM e),
 b AS (SELECT term FROM t WHERE which = 0 GROUP BY term HAVING count(*) * {RARE} >= (SELECT count(*) FROM d) AND count(*) * {COMMON[1]} <= (SELECT count(*) FROM d) * {COMMON[0]}),
-m AS (SELECT term, k FROM b, range({SUBSETS}) AS r(k) WHERE substr(md5(k || ':' || term), 1, 2) IN ('00', '40', '80', 'c0')),
+m AS (SELECT term, k FROM b, range({SUBSETS}) AS r(k) WHERE substr(sha256(term), 2 * k::INT + 1, 2) IN {CHOSEN}),
 h AS (SELECT place, which, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS part FROM t JOIN m USING (term) GROUP BY place, which, k),
 a AS (SELECT e.place, w.which, r.k, h.part FROM e CROSS JOIN (VALUES (0), (1)) AS w(which) CROSS JOIN range({SUBSETS}) AS r(k) LEFT JOIN h ON h.place = e.place AND h.which = w.which AND h.k = r.k),
 f AS (SELECT place, which, count(part) AS parts, string_agg(coalesce(part, '-'), '.' ORDER BY k) AS joined FROM a GROUP BY place, which),
