@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.ann import op3_rotated_codes
 from tessera.llm.imatch import OP10_SQL, op10_imatch
 from tessera.llm.language import op8_language_id
+from tessera.llm.maxent import op5_hashed_maxent
 from tessera.llm.mixing import OP7_SQL, op7_curriculum_mix
 from tessera.llm.packing import op2_best_fit_packing
 from tessera.llm.quality import op4_pu_quality
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_rotated_codes": op3_rotated_codes,
     "op4_pu_quality": op4_pu_quality,
+    "op5_hashed_maxent": op5_hashed_maxent,
     "op6_ring_shards": op6_ring_shards,
     "op7_curriculum_mix": op7_curriculum_mix,
     "op8_language_id": op8_language_id,
