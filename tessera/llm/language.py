@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,44 +41,49 @@ MARK = "▁"
 BLOCK_CHARS = 2_000_000
 LONG_WORD = 40
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
-_SLOT_BITS = 20
+_SLOT_BITS = 18
 
 
 class Pieces:
     """The vocabulary as hash tables over polynomial hashes of code points."""
 
     def __init__(self, pieces: list[str]) -> None:
-        self.n = len(pieces)  # the id of the unknown piece; n + 1 stands for no piece
-        size = 1 << _SLOT_BITS
-        self.keys = np.zeros((2, size), np.uint64)
-        self.ids = np.full((2, size), self.n + 1, np.int32)
+        self.pieces, self.n = pieces, len(pieces)  # n: the id of the unknown piece; n + 1 stands for no piece
         self.power = _BASE ** np.arange(MAX_PIECE + 1, dtype=np.uint64)
-        rest: dict[int, tuple[int, int]] = {}
-        for i, piece in enumerate(pieces):
-            h = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for c in piece:
-                    h = h * _BASE + np.uint64(ord(c))
-            slots = self.slots(np.array([h]))
-            level = next((k for k in (0, 1) if self.ids[k, slots[k][0]] > self.n), None)
-            if level is None:
-                rest[int(h)] = (i, len(piece))  # in neither table: not used, as said in the README
-                continue
-            self.keys[level, slots[level][0]], self.ids[level, slots[level][0]] = h, i
-        self.unused = len(rest)
+        hashes = np.zeros(self.n, np.uint64)
+        sizes = np.fromiter(map(len, pieces), np.int64, self.n)
+        for size in range(1, MAX_PIECE + 1):
+            at = np.flatnonzero(sizes == size)
+            codes = np.frombuffer("".join([pieces[i] for i in at]).encode("utf-32-le"), np.uint32).reshape(-1, size)
+            for c in codes.T.astype(np.uint64):
+                hashes[at] = hashes[at] * _BASE + c
+        self.keys = np.zeros((2, 1 << _SLOT_BITS), np.uint64)
+        self.ids = np.full((2, 1 << _SLOT_BITS), self.n + 1, np.int32)
+        rest, self.mix = np.arange(self.n), [_MIX, _MIX]
+        for level in (0, 1):
+            tries = [_MIX + np.uint64(2 * i) for i in range(1 if level == 0 else 64)]
+            firsts = [np.unique(self.slots(hashes[rest], m), return_index=True)[1] for m in tries]
+            best = max(range(len(tries)), key=lambda i: len(firsts[i]))
+            self.mix[level], put = tries[best], rest[firsts[best]]
+            slots = self.slots(hashes[put], tries[best])
+            self.keys[level, slots], self.ids[level, slots] = hashes[put], put
+            rest = np.setdiff1d(rest, put)
+        self.unused = len(rest)  # pieces in neither table, one or two of the vocabulary: they match nothing
+
+    def __reduce__(self):
+        return _pieces, (tuple(self.pieces),)  # tasks get the pieces and build the tables once a process
 
     @staticmethod
-    def slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m = h * _MIX
-        return m >> np.uint64(64 - _SLOT_BITS), (m >> np.uint64(20)) & np.uint64((1 << _SLOT_BITS) - 1)
+    def slots(h: np.ndarray, mix: np.uint64) -> np.ndarray:
+        return (h * mix) >> np.uint64(64 - _SLOT_BITS)
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Ids of the pieces with these hashes; n + 1 where there is none."""
-        one, two = self.slots(h)
+        one = self.slots(h, self.mix[0])
         out = np.where(self.keys[0][one] == h, self.ids[0][one], self.n + 1)
         miss = np.flatnonzero(out > self.n)
         if len(miss):
-            at = two[miss]
+            at = self.slots(h[miss], self.mix[1])
             out[miss] = np.where(self.keys[1][at] == h[miss], self.ids[1][at], self.n + 1)
         return out
 
@@ -125,6 +131,11 @@ class Pieces:
         return out
 
 
+@lru_cache(maxsize=4)
+def _pieces(pieces: tuple[str, ...]) -> Pieces:
+    return Pieces(list(pieces))
+
+
 def load_pieces(path: str = VOCABULARY) -> Pieces:
     import sentencepiece
 
