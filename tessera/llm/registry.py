@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tessera.llm.ann import op3_rotated_codes
 from tessera.llm.imatch import OP10_SQL, op10_imatch
 from tessera.llm.language import op8_language_id
@@ -14,6 +15,7 @@ from tessera.llm.simhash import op1_simhash
 from tessera.llm.warc import OP9_SQL, op9_capture_histories
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_simhash": op1_simhash,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_rotated_codes": op3_rotated_codes,

@@ -16,7 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
@@ -159,54 +159,62 @@ def blocks(n_codes: int, radius: int) -> list[tuple[int, list[int]]]:
     return tables
 
 
-def link_codes(codes: DataFrame, radius: int, shard_codes: int = SHARD_CODES) -> DataFrame:
-    """codes(code, node), distinct -> edges(a, b) between nodes that join what the radius joins.
+def in_chunks(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """rows(..., node, keys) with columns i and j: a group of up to most rows is the one shard (0, 0).
 
-    A code goes to one shard of each table, so the work is linear in codes as
-    long as shards are small; the tree of a shard is built in the task that
-    gets its codes.  A shard beyond shard_codes is dealt out as pairs of chunks.
+    A larger group is cut in chunks by node, and each pair of chunks i <= j
+    becomes a shard, so that every two rows meet in a shard of bounded size.
     """
-    masks = blocks(codes.count(), radius)
-    keyed = codes.withColumn("key", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("code").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks)])))
-    keyed = keyed.select("code", "node", "key.t", "key.k")
-    large = keyed.groupBy("t", "k").count().where(F.col("count") > shard_codes).select("t", "k", F.ceil(F.col("count") / shard_codes).cast("int").alias("chunks"))
+    large = rows.groupBy(*keys).count().where(F.col("count") > most).select(*keys, F.ceil(F.col("count") / most).cast("int").alias("chunks"))
     mine = F.pmod(F.col("node"), F.col("chunks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(F.least(c, mine).alias("i"), F.greatest(c, mine).alias("j")))
-    keyed = keyed.join(large, ["t", "k"], "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
-    keyed = keyed.withColumn("p", F.explode(pairs)).select("code", "node", "t", "k", "p.i", "p.j")
+    joined = rows.join(large, keys, "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    return joined.withColumn("p", F.explode(pairs)).select(*rows.columns, "p.i", "p.j")
+
+
+def shards_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[pa.RecordBatch]]:
+    """The slices of each run of rows with equal integer keys."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        cut = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1).tolist()
+        for lo, hi in zip([0, *cut], [*cut, batch.num_rows]):
+            key = tuple(int(c[lo]) for c in columns)
+            if key != last and held:
+                yield held
+                held = []
+            last = key
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield held
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        last: tuple | None = None
 
-        def linked(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            code, node = (np.concatenate(x) for x in zip(*held))
-            links = forest(code.view(np.uint64).tolist(), radius)
-            return node[[i for i, _ in links]], node[[r for _, r in links]]
+def link_codes(codes: DataFrame, radius: int, shard_codes: int = SHARD_CODES) -> DataFrame:
+    """codes(code, node, f), distinct -> edges(a, b) between nodes that join what the radius joins.
 
-        def out(a: list, b: list) -> pa.RecordBatch:
-            return pa.record_batch([pa.array(np.concatenate(a) if a else [], pa.int64()), pa.array(np.concatenate(b) if b else [], pa.int64())], ["a", "b"])
+    f numbers the fingerprints of a node; only codes of one number link.  A code goes to one shard of each table, so the work is linear in codes as
+    long as shards are small; the tree of a shard is built in the task that
+    gets its codes.  A shard beyond shard_codes is dealt out as pairs of chunks.
+    """
+    masks = blocks(codes.groupBy("f").count().agg(F.max("count")).first()[0] or 0, radius)
+    keyed = codes.withColumn("key", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("code").bitwiseAND(F.lit(signed(m))).alias("k")) for t, m in enumerate(masks)])))
+    keyed = keyed.select("code", "node", (F.col("key.t") + F.col("f") * len(masks)).alias("t"), "key.k")
+    keyed = in_chunks(keyed, ["t", "k"], shard_codes)
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            code, node, *keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            cut = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-            a, b = [], []
-            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(code)]):
-                key = tuple(int(k[lo]) for k in keys)
-                if key != last and held:
-                    if sum(map(len, (c for c, _ in held))) > 1:
-                        x, y = linked(held)
-                        a.append(x)
-                        b.append(y)
-                    held = []
-                last = key
-                held.append((code[lo:hi], node[lo:hi]))
-            yield out(a, b)
-        if held:
-            x, y = linked(held)
-            yield out([x], [y])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a: list[np.ndarray] = []
+        b: list[np.ndarray] = []
+        for held in shards_of(batches, keys):
+            if sum(x.num_rows for x in held) > 1:
+                code, node = (np.concatenate([x[c].to_numpy() for x in held]) for c in ("code", "node"))
+                links = forest(code.view(np.uint64).tolist(), radius)
+                a.append(node[[i for i, _ in links]])
+                b.append(node[[r for _, r in links]])
+        none = np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(np.concatenate([none, *a])), pa.array(np.concatenate([none, *b]))], ["a", "b"])
 
     keys = ["t", "k", "i", "j"]
     return keyed.repartition(*keys).sortWithinPartitions(*keys, "code").mapInArrow(run, "a long, b long")
@@ -215,7 +223,7 @@ def link_codes(codes: DataFrame, radius: int, shard_codes: int = SHARD_CODES) ->
 def group(prints: DataFrame, radius: int) -> DataFrame:
     """prints(id, code, node) -> (id, code, component_id)."""
     codes = written(prints.groupBy("code", "node").agg(F.min("id").alias("first_id")), "codes")
-    found = components(link_codes(codes.select("code", "node"), radius))
+    found = components(link_codes(codes.select("code", "node", F.lit(0).alias("f")), radius))
     rooted = codes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = written(rooted.join(names, "root").select("code", "component_id"), "named")
@@ -233,5 +241,118 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
     return group(prints, radius).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Fingerprints of a text's distinct words that candidates for near copies may share, and the bits in which they may differ.
+CANDIDATE_PRINTS, CANDIDATE_RADIUS = 4, 5
+#: Candidates of a component that meet in one task; a larger one is dealt out as pairs of chunks.
+VERIFIED_TEXTS = 1024
+
+
+def _text_key(words: list[bytes]) -> bytes:
+    return xxhash.xxh3_128_digest(b" ".join(words))
+
+
+def verified(firsts: list, sets: list[frozenset], similarity: float) -> list[tuple[int, int]]:
+    """Links that join every two sets of that Jaccard similarity; a pair already joined isn't compared."""
+    root = list(range(len(sets)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    seen: list[int] = []  # who was hit last is tried first
+    links = []
+    for i in sorted(range(len(sets)), key=lambda i: (firsts[i] is None, firsts[i])):
+        for at, j in enumerate(seen[::-1]):
+            if find(i) == find(j):
+                continue
+            a, b = len(sets[i]), len(sets[j])
+            if min(a, b) < similarity * max(a, b):
+                continue
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (a + b - both):
+                root[find(i)] = find(j)
+                links.append((i, j))
+                del seen[len(seen) - 1 - at]
+                seen.append(j)
+                break
+        else:
+            seen.append(i)
+            continue
+        for j in seen:  # the components that i joins besides
+            if find(j) != find(i) and min(len(sets[i]), len(sets[j])) >= similarity * max(len(sets[i]), len(sets[j])):
+                both = len(sets[i] & sets[j])
+                if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                    root[find(j)] = find(i)
+                    links.append((i, j))
+        seen.append(i)
+    return links
+
+
+def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, one of each group of near copies: that with the smallest id.
+
+    Near copies have sets of word shingles of that Jaccard similarity, or a
+    chain of such texts between them.  Candidates are found by BK-trees over
+    SimHash fingerprints of the distinct words, of which near copies share
+    nearly all; every candidate component is then checked on the exact sets.
+    Rows that share an id are one document, and that with the smallest text
+    stays; a row without an id can't be named by any decision and stays.
+    """
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    kind = slim.schema["id"].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, codes = [], []
+            for text in batch.column(1):
+                ws = lower_words(text.as_py())
+                keys.append(_text_key(ws))
+                h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(ws)], np.uint64)
+                mixed = [((h ^ np.uint64(f * 0x1234567)) * np.uint64(RENAME)) for f in range(CANDIDATE_PRINTS)]
+                codes.append([signed(fingerprint((m ^ (m >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))) for m in mixed])
+            nodes = pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64())
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), nodes, pa.array(codes, pa.list_(pa.int64()))], ["id", "key", "node", "codes"])
+
+    printed = written(slim.where("id is not null").mapInArrow(prints, f"id {kind}, key binary, node long, codes array<long>"), "prints")
+    texts = written(printed.groupBy("key", "node").agg(F.min("id").alias("first"), F.min("codes").alias("codes")), "texts")
+    codes = written(texts.select("node", F.posexplode("codes").alias("f", "code")).distinct(), "codes")
+    candidates = components(link_codes(codes, CANDIDATE_RADIUS))
+    members = written(texts.join(candidates, "node").select("key", "node", "first", "root"), "members")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for text, key, node, first, root in zip(*(b[c].to_pylist() for c in ("text", "key", "node", "first", "root"))):
+                ws = lower_words(text)
+                if _text_key(ws) == key:
+                    rows.append((node, first, root, np.unique(shingle_hashes(ws, words)).tobytes()))
+            types = [pa.int64(), b.schema.field("first").type, pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["node", "first", "root", "shingles"])
+
+    named = slim.join(members.withColumn("id", F.col("first")), "id").select("text", "key", "node", "first", "root")
+    sets = written(named.mapInArrow(shingled, f"node long, first {kind}, root long, shingles binary"), "shingles")
+    keys = ["root", "i", "j"]
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for held in shards_of(batches, keys):
+            node, first, shingles = ([x for h in held for x in h[c].to_pylist()] for c in ("node", "first", "shingles"))
+            links = verified(first, [frozenset(np.frombuffer(s, np.uint64).tolist()) for s in shingles], similarity)
+            a += [node[i] for i, _ in links]
+            b += [node[j] for _, j in links]
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    chunked = in_chunks(sets, ["root"], VERIFIED_TEXTS).repartition(*keys).sortWithinPartitions(*keys, "first", "node")
+    groups = components(chunked.mapInArrow(check, "a long, b long"))
+    rooted = texts.join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = rooted.groupBy("root").agg(F.min("first").alias("keep_id")).select("keep_id").distinct()
+    stays = docs.join(kept, docs[id_col] == kept["keep_id"], "left_semi")
+    mark = "row_" + "_".join(docs.columns)  # no column of docs has that name
+    stays = stays.withColumn(mark, F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where(F.col(f"`{mark}`") == 1)
+    return stays.select(docs.columns).unionAll(docs.where(F.col(id_col).isNull()))
+
+
 def op1_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)
