@@ -1 +1 @@
-"""See the modules of this package."""
+"""Tables, and the views that the operators work on."""
