@@ -56,7 +56,7 @@ def relation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 def log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events in periods of six days; the participants are the user and the user after."""
     return table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value", (F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 6) + 1).cast("int").alias("vol"),
+        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", (F.floor(F.datediff("ts", F.lit("2024-01-01").cast("date")) / 6) + 1).cast("int").alias("vol"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
 
