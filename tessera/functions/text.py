@@ -84,19 +84,29 @@ def sentences(text: Column) -> Column:
 
 def sentence_count(text: Column) -> Column:
     """Runs that end in a stop; at least one if there is any text."""
-    return F.when(F.trim(text) == "", F.lit(0)).otherwise(F.greatest(F.regexp_count(text, F.lit(r"[^.!?]+[.!?]")), F.lit(1)))
+    return F.when(F.trim(text) == "", F.lit(0)).otherwise(F.greatest(F.regexp_count(text, F.lit(r"[^.!?][.!?]")), F.lit(1)))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, though use names it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Distinct runs of n tokens."""
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-    return F.when(F.size(tokens) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return bound(tokens, runs)
 
 
 def ngrams_kept(before: Column, after: Column, n: int = 4, least: int = 5) -> Column:
     """Share of the distinct n-grams before that are there after; 0 if there are fewer than least before."""
     a, b = ngrams(words(F.lower(before)), n), ngrams(words(F.lower(after)), n)
-    return F.when(F.size(a) < least, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / F.size(a))
+    both = F.struct(a.alias("a"), b.alias("b"))
+    return bound(both, lambda x: F.when(F.size(x["a"]) < least, F.lit(0.0)).otherwise(F.size(F.array_intersect(x["a"], x["b"])) / F.size(x["a"])))
 
 
 def keywords(text: Column, least: int = 4) -> Column:

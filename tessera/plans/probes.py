@@ -1 +1,94 @@
-"""Plans."""
+"""Leak probes: what a reader at a cutoff must not find; comparison of two builds."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tessera.operators import probing
+from tessera.plans.core import INTERVALS, built
+from tessera.plans.registry import query
+from tessera.sources.tables import CLAIMS, EVENTS, PASSAGES, log_events, passages, status_claims, table
+
+@query("probe_future_text_leak", f"WITH {PASSAGES} SELECT item_id, count(DISTINCT doc_id) AS n, min(doc_id % 5 + 1) AS first_vol FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL")
+def _(spark, sf):
+    hits = probing.verbatim(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+    return hits.groupBy("item_id").agg(F.countDistinct("doc_id").alias("n"), F.min(F.col("doc_id") % 5 + 1).alias("first_vol"))
+
+
+@query("probe_first_disclosure", "SELECT item_id, arg_min(doc_id, (doc_id % 5, doc_id)) AS doc_id, arg_min(strpos(d.text, b.text) - 1, (doc_id % 5, doc_id)) AS at FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY ALL")
+def _(spark, sf):
+    b, d = table(spark, sf, "benchmark"), table(spark, sf, "documents").select("doc_id", "text")
+    hits = probing.verbatim(b, d).join(d, "doc_id").join(F.broadcast(b.select("item_id", F.col("text").alias("needle"))), "item_id")
+    key = F.struct(F.col("doc_id") % 5, "doc_id")
+    return hits.groupBy("item_id").agg(F.min_by("doc_id", key).alias("doc_id"), F.min_by(F.expr("instr(text, needle) - 1"), key).alias("at"))
+
+
+@query("probe_segment_offsets", "SELECT conv_id, turn, (sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) - 1)::BIGINT AS base FROM conversations")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    n = F.length("text") + 1
+    return table(spark, sf, "conversations").select("conv_id", "turn", (F.sum(n).over(Window.partitionBy("conv_id").orderBy("turn")) - n).alias("base"))
+
+
+@query("probe_overlapping_segments", "WITH s AS (SELECT conv_id, turn, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - length(text) - 1 AS base, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS stop FROM conversations) SELECT conv_id, turn FROM s WHERE base < 600 AND stop > 300")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    stop = F.sum(F.length("text") + 1).over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    return table(spark, sf, "conversations").select("conv_id", "turn", stop.alias("stop"), (stop - F.length("text")).alias("base")).where("base < 600 and stop > 300").select("conv_id", "turn")
+
+
+@query("probe_candidate_difference", rf"WITH {PASSAGES}, f AS (SELECT vol, unnest(regexp_extract_all(text, '\p{{Lu}}\p{{L}}+')) AS w FROM para) SELECT DISTINCT w FROM f WHERE vol = 1 AND w NOT IN (SELECT w FROM f WHERE vol > 1)")
+def _(spark, sf):
+    f = passages(spark, sf).select("vol", F.explode(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}+"), 0)).alias("w"))
+    return f.where("vol = 1").select("w").distinct().join(f.where("vol > 1").select("w").distinct(), "w", "left_anti")
+
+
+@query("probe_vocabulary_exposure", f"WITH {EVENTS} SELECT event_type, round(avg(CASE WHEN vol > 3 THEN 1 ELSE 0 END), 9) AS future_share FROM ev WHERE user_id IN (SELECT user_id FROM ev WHERE vol <= 1) GROUP BY ALL")
+def _(spark, sf):
+    e = log_events(spark, sf)
+    seen = e.where("vol <= 1").select("user_id").distinct()
+    return e.join(seen, "user_id", "left_semi").groupBy("event_type").agg(F.round(F.avg(F.when(F.col("vol") > 3, 1).otherwise(0)), 9).alias("future_share"))
+
+
+@query("probe_build_page_diff", f"WITH {CLAIMS}, a AS (SELECT DISTINCT subject FROM claims WHERE vol <= 3), b AS (SELECT DISTINCT subject FROM claims WHERE vol >= 3) SELECT coalesce(a.subject, b.subject) AS subject, CASE WHEN b.subject IS NULL THEN 'first' ELSE 'second' END AS only_in FROM a FULL JOIN b USING (subject) WHERE a.subject IS NULL OR b.subject IS NULL".replace("FULL JOIN b USING (subject)", "FULL JOIN b ON a.subject = b.subject"))
+def _(spark, sf):
+    c = status_claims(spark, sf)
+    a = c.where("vol <= 3").select(F.col("subject").alias("a")).distinct()
+    b = c.where("vol >= 3").select(F.col("subject").alias("b")).distinct()
+    both = a.join(b, F.col("a") == F.col("b"), "full").where("a is null or b is null")
+    return both.select(F.coalesce("a", "b").alias("subject"), F.when(F.col("b").isNull(), "first").otherwise("second").alias("only_in"))
+
+
+@query("probe_build_shared_diff", f"WITH {CLAIMS}, s AS (SELECT subject, list_distinct(list(value) FILTER (vol <= 3)) AS a, list_distinct(list(value) FILTER (vol > 3)) AS b FROM claims GROUP BY ALL HAVING bool_or(vol <= 3) AND bool_or(vol > 3)) SELECT subject, len(list_filter(a, lambda x: NOT list_contains(b, x))) AS gone, len(list_filter(b, lambda x: NOT list_contains(a, x))) AS added, len(list_intersect(a, b)) AS shared FROM s")
+def _(spark, sf):
+    s = status_claims(spark, sf).groupBy("subject").agg(F.collect_set(F.when(F.col("vol") <= 3, F.col("value"))).alias("a"), F.collect_set(F.when(F.col("vol") > 3, F.col("value"))).alias("b")).where("size(a) > 0 and size(b) > 0")
+    return s.select("subject", F.size(F.array_except("a", "b")).alias("gone"), F.size(F.array_except("b", "a")).alias("added"), F.size(F.array_intersect("a", "b")).alias("shared"))
+
+
+@query("probe_identity_dependence", f"WITH {INTERVALS}, p AS (SELECT subject, string_agg(value, '|' ORDER BY vol_start) AS a FROM iv WHERE vol_start <= 3 GROUP BY ALL), q AS (SELECT subject, string_agg(value, '|' ORDER BY vol_start) AS b FROM iv GROUP BY ALL) SELECT CASE WHEN a IS NULL THEN 'absent' WHEN a = b THEN 'same' WHEN starts_with(b, a) THEN 'extended' ELSE 'regrouped' END AS kind, count(*) AS n FROM q LEFT JOIN p USING (subject) GROUP BY ALL")
+def _(spark, sf):
+    rows = built(spark, sf)
+    line = lambda df, name: df.groupBy("subject").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vol_start", "value"))), lambda x: x["value"]), "|").alias(name))
+    both = line(rows, "b").join(line(rows.where("vol_start <= 3"), "a"), "subject", "left")
+    kind = F.when(F.col("a").isNull(), "absent").when(F.col("a") == F.col("b"), "same").when(F.startswith("b", "a"), "extended").otherwise("regrouped")
+    return both.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("probe_aligned_pairs", "WITH a AS (SELECT doc_id, len(regexp_extract_all(lower(text), 'the ')) AS n FROM documents WHERE lang = 'en'), b AS (SELECT doc_id, quality FROM labels) SELECT doc_id, n FROM a JOIN b USING (doc_id) WHERE n = 1")
+def _(spark, sf):
+    a = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.regexp_count(F.lower("text"), F.lit("the ")).alias("n")).where("n = 1")
+    return a.join(table(spark, sf, "labels").select("doc_id"), "doc_id")
+
+
+@query("probe_disclosure_class", """WITH q AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) >= 5)) AS k FROM benchmark), s AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+  w AS (SELECT doc_id, line, unnest(list_distinct(string_split(lower(line), ' '))) AS w FROM s), h AS (SELECT item_id, doc_id, line, count(*) AS shared, any_value(len(k)) AS of FROM w JOIN (SELECT item_id, k, unnest(k) AS w FROM q) USING (w) GROUP BY ALL)
+SELECT DISTINCT item_id, doc_id FROM h WHERE shared * 2 >= of""")
+def _(spark, sf):
+    q = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.filter(F.split(F.lower("text"), " "), lambda w: F.length(w) >= 5)).alias("k"))
+    asked = q.select("item_id", F.size("k").alias("of"), F.explode("k").alias("w"))
+    lines = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    found = lines.select("doc_id", "at", F.explode(F.array_distinct(F.split(F.lower("line"), " "))).alias("w"))
+    hits = found.join(F.broadcast(asked), "w").groupBy("item_id", "doc_id", "at").agg(F.count(F.lit(1)).alias("shared"), F.max("of").alias("of"))
+    return hits.where("shared * 2 >= of").select("item_id", "doc_id").distinct()
