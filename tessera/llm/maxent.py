@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ ROUNDS = 2
 STEP_TOKENS = 4096
 BLOCK_TOKENS = 1 << 17
 RATE = 0.25
+#: Tokens that a learner should have at least, and the sums into which the learners' changes go first.
+LEARNER_TOKENS, SALTS = 1 << 20, 8
 #: Rows of a weight table that travel as one block.
 BLOCK_ROWS = 512
 #: Distinct tokens that a task counts before it passes them on.
@@ -148,7 +151,7 @@ class Trainer:
             self._step(1, m.word_rows, m.word_bias[cls], m.rows(k, WORD_ROWS_BITS, cls.astype(np.uint64)), s % SLOTS)
 
     def changes(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(level, block, uses of each row, change of each row times its uses) of every block in use."""
+        """(level, block, uses of each row, change of each row) of every block in use."""
         for level, weights in enumerate((self.model.class_rows, self.model.word_rows)):
             for b in range(0, len(weights), BLOCK_ROWS):
                 at = slice(b, b + BLOCK_ROWS)
@@ -164,7 +167,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], slot_of: dict[bytes, int]) -> I
             words = lower_words(text.as_py())
             words.append(END)
             starts.append(n)
-            slots += [slot_of.get(w, 0) for w in words]
+            slots += map(slot_of.get, words, repeat(0))
             n = len(slots)
             if n >= BLOCK_TOKENS:
                 s = np.array(slots, np.int64)
@@ -210,23 +213,31 @@ def head_counts(counts: DataFrame, most: int = HEAD) -> list[tuple[bytes, int]]:
     return sorted(((t.encode(), c) for t, c in zip(got["token"].to_pylist(), got["c"].to_pylist())), key=lambda x: (-x[1], x[0]))
 
 
-def train(texts: DataFrame, model: MaxEnt, slot_of: dict[bytes, int], rounds: int = ROUNDS) -> MaxEnt:
-    """texts(text, part): one pass, a round over each of the parts 0 to rounds - 1."""
+def train(texts: DataFrame, model: MaxEnt, slot_of: dict[bytes, int], n_tokens: int, rounds: int = ROUNDS) -> MaxEnt:
+    """texts(text, part) of n_tokens: one pass, a round over each of the parts 0 to rounds - 1."""
     rows = BLOCK_ROWS
 
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int, int], list[np.ndarray]] = {}  # blocks of one model at most, times the salts dealt here
-        for b in batches:
-            for level, block, salt, n, x in zip(*(c.to_pylist() for c in b.columns)):
-                uses, change = np.frombuffer(n, np.int64), np.frombuffer(x, np.float32)
-                if (t := total.get((level, block, salt))) is None:
-                    total[level, block, salt] = [uses.copy(), change.copy()]
-                else:
-                    t[0] += uses
-                    t[1] += change
-        keys = list(total)
-        columns = [pa.array([k[i] for k in keys], pa.int32()) for i in range(3)] + [pa.array([t[i].tobytes() for t in total.values()], pa.binary()) for i in range(2)]
-        yield pa.RecordBatch.from_arrays(columns, ["level", "block", "salt", "uses", "change"])
+    def summing(weighted: bool):
+        """Sums of uses and of uses times change; weighted: the changes that come in are not yet times their uses."""
+
+        def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple[int, int, int], list[np.ndarray]] = {}  # blocks of one model at most, times the salts dealt here
+            for b in batches:
+                for level, block, salt, n, x in zip(*(c.to_pylist() for c in b.columns)):
+                    uses = np.frombuffer(n, np.int64)
+                    change = np.frombuffer(x, np.float32)
+                    if weighted:
+                        change = (np.frombuffer(x, np.float16).reshape(len(uses), -1) * uses[:, None].astype(np.float32)).ravel()
+                    if (t := total.get((level, block, salt))) is None:
+                        total[level, block, salt] = [uses.copy(), change.copy()]
+                    else:
+                        t[0] += uses
+                        t[1] += change
+            keys = list(total)
+            columns = [pa.array([k[i] for k in keys], pa.int32()) for i in range(3)] + [pa.array([t[i].tobytes() for t in total.values()], pa.binary()) for i in range(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["level", "block", "salt", "uses", "change"])
+
+        return summed
 
     schema = "level int, block int, salt int, uses binary, change binary"
     for part in range(rounds):
@@ -235,16 +246,17 @@ def train(texts: DataFrame, model: MaxEnt, slot_of: dict[bytes, int], rounds: in
             trainer = Trainer(model)
             for slots, keys in blocks_of(batches, slot_of):
                 trainer.learn(slots, keys)
-            salt = TaskContext.get().partitionId() % 64
-            out = [(level, block, salt, n.tobytes(), (x * n[:, None]).astype(np.float32).tobytes()) for level, block, n, x in trainer.changes()]
+            salt = TaskContext.get().partitionId() % SALTS
+            out = [(level, block, salt, n.tobytes(), x.astype(np.float16).tobytes()) for level, block, n, x in trainer.changes()]
             types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             for lo in range(0, len(out), 16):
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out[lo : lo + 16]], t) for i, t in enumerate(types)], ["level", "block", "salt", "uses", "change"])
 
-        # two levels of sums: a block meets at most one sum for each salt in the last
-        changes = texts.where(F.col("part") == part).select("text").mapInArrow(learn, schema)
-        changes = changes.repartition("level", "block", "salt").mapInArrow(summed, schema).withColumn("salt", F.lit(0))
-        for r in changes.repartition("level", "block").mapInArrow(summed, schema).toLocalIterator():
+        # A learner should have LEARNER_TOKENS, for its weights travel whole.  Two
+        # levels of sums: a block meets one sum for each salt in the last.
+        mine = texts.where(F.col("part") == part).select("text").coalesce(max(1, -(-n_tokens // (rounds * LEARNER_TOKENS))))
+        changes = mine.mapInArrow(learn, schema).repartition("level", "block", "salt").mapInArrow(summing(True), schema).withColumn("salt", F.lit(0))
+        for r in changes.repartition("level", "block").mapInArrow(summing(False), schema).toLocalIterator():
             weights = (model.class_rows, model.word_rows)[r["level"]]
             uses = np.frombuffer(bytes(r["uses"]), np.int64)
             change = np.frombuffer(bytes(r["change"]), np.float32).reshape(rows, -1)
@@ -264,7 +276,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     within = sum(c for _, c in vocabulary)
     other, other_tokens = n - within, v - len(vocabulary)
     slot_of = {t: i + 1 for i, (t, _) in enumerate(vocabulary)}
-    model = train(texts, MaxEnt(np.array([c for _, c in vocabulary]), other), slot_of)
+    model = train(texts, MaxEnt(np.array([c for _, c in vocabulary]), other), slot_of, n)
     head_index = {t: i for i, (t, _) in enumerate(head)}
     head_log = np.append(np.log10(np.array([c for _, c in head]) + 1.0) if head else [], [0.0])  # the last: not in the head
     base_each, other_each = float(np.log10(n + v + 1)), float(np.log10(other + other_tokens + 1))
@@ -278,17 +290,17 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         def scored(ids: list, words: list[list[bytes]], number: int) -> pa.RecordBatch:
             sizes = np.fromiter(map(len, words), np.int64, len(words))
             starts = np.cumsum(sizes) - sizes
-            flat = [w for ws in words for w in ws]
-            at = np.fromiter((head_index.get(w, -1) for w in flat), np.int64, len(flat))
+            flat = list(chain.from_iterable(words))
+            at = np.fromiter(map(head_index.get, flat, repeat(-1)), np.int64, len(flat))
             slots = np.where((at >= 0) & (at < n_slots), at + 1, 0)
             logs = head_log[at]
             lm = model.log_probability(slots, MaxEnt.features(slots, starts)) / np.log(10)
             lm += np.where(slots == 0, logs - other_each, 0.0)
             missing = np.flatnonzero(at < 0)
             of = np.searchsorted(missing, np.append(starts, len(flat)))
-            rest = [[flat[i].decode("utf-8", "surrogatepass") for i in missing[lo:hi]] for lo, hi in zip(of, of[1:])]
+            rest = pa.ListArray.from_arrays(pa.array(of.astype(np.int32)), pa.array([flat[i] for i in missing.tolist()], pa.binary()).cast(pa.string()))
             known = np.add.reduceat((at >= 0).astype(np.int64), starts)
-            columns = [pa.array(np.arange(number, number + len(words))), pa.array(ids, id_type), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(logs, starts) - sizes * base_each), pa.array(np.add.reduceat(lm, starts)), pa.array(rest, pa.list_(pa.string()))]
+            columns = [pa.array(np.arange(number, number + len(words))), pa.array(ids, id_type), pa.array(sizes), pa.array(known), pa.array(np.add.reduceat(logs, starts) - sizes * base_each), pa.array(np.add.reduceat(lm, starts)), rest]
             return pa.RecordBatch.from_arrays(columns, names)
 
         id_type = None
