@@ -241,8 +241,6 @@ def simhash_components(docs: DataFrame, words: int = 4, radius: int = 4, id_col:
     return group(prints, radius).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("code")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of a text's distinct words that candidates for near copies may share, and the bits in which they may differ.
-CANDIDATE_PRINTS, CANDIDATE_RADIUS = 4, 5
 #: Candidates of a component that meet in one task; a larger one is dealt out as pairs of chunks.
 VERIFIED_TEXTS = 1024
 
@@ -290,35 +288,61 @@ def verified(firsts: list, sets: list[frozenset], similarity: float) -> list[tup
     return links
 
 
+def prefix_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets(node, shingles) -> edges(a, b) between nodes that join every two sets of that Jaccard similarity, and some others.
+
+    The prefix filter, exact for any one order of all shingles: of sets that
+    similar, the first size - ceil(similarity * size) + 1 of each share a
+    shingle.  Shingles of one text come first, then the rarest, so a set whose
+    prefix holds only its own has no partner, and a widespread passage is in
+    hardly any prefix.  The nodes of a prefix shingle are linked in a chain by
+    size, which breaks where the sizes differ too much.  A node may be repeated.
+    """
+    rows = sets.select("node", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    whole = Window.partitionBy("shingle")
+    counted = rows.withColumn("c", F.count(F.lit(1)).over(whole)).withColumn("least", F.min("node").over(whole)).withColumn("most", F.max("node").over(whole))
+    shared = written(counted.where("least <> most").select("node", "size", "shingle", "c").distinct(), "shared")
+    mine = Window.partitionBy("node")
+    ranked = shared.withColumn("m", F.count(F.lit(1)).over(mine)).withColumn("place", F.row_number().over(mine.orderBy("c", "shingle")) + F.col("size") - F.col("m"))
+    prefix = ranked.where(F.col("place") <= F.col("size") - F.ceil(F.lit(similarity) * F.col("size") - 1e-9) + 1)
+    near = Window.partitionBy("shingle").orderBy("size", "node")
+    chained = prefix.select(F.col("node").alias("a"), F.lag("node").over(near).alias("b"), "size", F.lag("size").over(near).alias("before"))
+    return chained.where(F.col("before") >= F.lit(similarity) * F.col("size")).select("a", "b")
+
+
 def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, one of each group of near copies: that with the smallest id.
 
     Near copies have sets of word shingles of that Jaccard similarity, or a
-    chain of such texts between them.  Candidates are found by BK-trees over
-    SimHash fingerprints of the distinct words, of which near copies share
-    nearly all; every candidate component is then checked on the exact sets.
+    chain of such texts between them.  Candidates are found by an exact prefix
+    filter over the shingles, so no near copy is missed wherever it was
+    edited; every candidate component is then checked on the exact sets.
     Rows that share an id are one document, and that with the smallest text
     stays; a row without an id can't be named by any decision and stays.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def node_of(key: bytes) -> int:
+        return int.from_bytes(key[:8], "little", signed=True)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [_text_key(lower_words(text.as_py())) for text in batch.column(1)]
+            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), pa.array(map(node_of, keys), pa.int64())], ["id", "key", "node"])
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, codes = [], []
-            for text in batch.column(1):
+            nodes, sets = [], []
+            for text in batch.column(0):
                 ws = lower_words(text.as_py())
-                keys.append(_text_key(ws))
-                h = np.array([xxhash.xxh64_intdigest(w, SEED) for w in set(ws)], np.uint64)
-                mixed = [((h ^ np.uint64(f * 0x1234567)) * np.uint64(RENAME)) for f in range(CANDIDATE_PRINTS)]
-                codes.append([signed(fingerprint((m ^ (m >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9))) for m in mixed])
-            nodes = pa.array([int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64())
-            yield pa.record_batch([batch.column(0), pa.array(keys, pa.binary()), nodes, pa.array(codes, pa.list_(pa.int64()))], ["id", "key", "node", "codes"])
-
-    printed = written(slim.where("id is not null").mapInArrow(prints, f"id {kind}, key binary, node long, codes array<long>"), "prints")
-    texts = written(printed.groupBy("key", "node").agg(F.min("id").alias("first"), F.min("codes").alias("codes")), "texts")
-    codes = written(texts.select("node", F.posexplode("codes").alias("f", "code")).distinct(), "codes")
-    candidates = components(link_codes(codes, CANDIDATE_RADIUS))
+                nodes.append(node_of(_text_key(ws)))
+                sets.append(np.unique(shingle_hashes(ws, words)).view(np.int64))
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+
+    named_rows = slim.where("id is not null")
+    texts = written(named_rows.mapInArrow(keyed, f"id {kind}, key binary, node long").groupBy("key", "node").agg(F.min("id").alias("first")), "texts")
+    candidates = components(prefix_links(named_rows.select("text").mapInArrow(listed, "node long, shingles array<long>"), similarity))
     members = written(texts.join(candidates, "node").select("key", "node", "first", "root"), "members")
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -128,6 +128,23 @@ def test_near_copies_keep_one(spark, edge, none):
     assert simhash.keep_one_of_each(none).count() == 0
 
 
+def test_near_copies_with_edited_blocks_keep_one(spark):
+    rng = np.random.default_rng(7)
+    new = lambda n: [f"z{rng.integers(10**9)}" for _ in range(n)]
+    passage, texts = new(12), []
+    for g in range(30):
+        words = [*new(150), *passage, *new(140)]
+        texts += [words, words[:100] + new(24) + words[124:], words + new(55), words[:250], words[:20] + passage + words[20:]]
+    sets = [frozenset(" ".join(t[i : i + 5]) for i in range(len(t) - 4)) for t in texts]
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(texts)))
+    for i, j in near:
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert len(near) >= 90 and sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == sorted(set(root))
+
+
 # 2
 
 
