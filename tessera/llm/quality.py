@@ -2,18 +2,20 @@
 
 A linear model over hashed byte trigrams and a few figures of a text's words
 minimises the non-negative unbiased risk of trusted positives and unlabelled
-text under an estimated class prior; its margin is then scaled to a
-probability on the labelled rows that may be learnt from.
+text under a class prior that is itself estimated from the unlabelled text.
+The logistic loss makes the margin a log odds, so its sigmoid is the score: no
+labelled negative is used anywhere.
 
-The fit uses bounded samples: at most SAMPLE rows each of positives, of
-unlabelled text and of labelled rows, those with the smallest hash of the id.
-Everything else covers every whole text.
+The fit uses bounded samples: at most SAMPLE rows each of positives and of
+unlabelled text, those with the smallest hash of the id.  Everything else
+covers every whole text.
 
 Cases.  A null or empty text has only its bias and word figures and still gets
-a score; a null id is held out by the empty text's crc32; repeated rows are
-scored alike; of several labels of one id all are used; with no trusted
-positive there is nothing to learn and every score is 0.5; an empty table gives
-an empty result.  Only the columns named are read.
+a score; a null id is held out by the empty text's crc32 and isn't learnt from;
+repeated rows are scored alike, and of rows that share an id that with the
+smallest text is learnt from; an id is positive if any of its labels is 1; with
+no trusted positive there is nothing to learn and every score is 0.5; an empty
+table gives an empty result.  Only the columns named are read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructType
 
 from tessera.llm.runtime import held_out, table, written
 
@@ -57,91 +60,103 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 20.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of least non-negative risk under the logistic loss.
+def pu_gradient(positive: np.ndarray, unlabelled: np.ndarray, prior: float, w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """Gradient of the risk in weights and bias; of minus its second term while that is negative.
 
-    Risk: prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]).  While the
-    second term is negative, the step goes up its gradient instead.
+    Risk: prior * E_p[l(z)] + max(0, E_u[l(-z)] - prior * E_p[l(-z)]), l the logistic loss.
     """
+    zp, zu = positive @ w + b, unlabelled @ w + b
+    sp, su = sigmoid(zp), sigmoid(zu)
+    gp, gu = -prior * sp / len(positive), su / len(unlabelled)
+    if np.logaddexp(0, zu).mean() < prior * np.logaddexp(0, zp).mean():
+        gp, gu = -gp, -gu
+    else:
+        gp = gp + prior * (sp - 1) / len(positive)
+    return gp.astype(np.float32) @ positive + gu.astype(np.float32) @ unlabelled, float(gp.sum() + gu.sum())
+
+
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 20.0, decay: float = 1e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias of least non-negative risk, by gradient steps of falling pace."""
     w, b = np.zeros(positive.shape[1], np.float32), 0.0
     for step in range(steps):
-        zp, zu = positive @ w + b, unlabelled @ w + b
-        sp, su = sigmoid(zp), sigmoid(zu)
-        gp, gu = -prior * sp / len(positive), su / len(unlabelled)
-        if np.logaddexp(0, zu).mean() < prior * np.logaddexp(0, zp).mean():
-            gp, gu = -gp, -gu
-        else:
-            gp = gp + prior * (sp - 1) / len(positive)
+        gw, gb = pu_gradient(positive, unlabelled, prior, w, b)
         pace = rate / (1 + step / 100)
-        w -= pace * (gp.astype(np.float32) @ positive + gu.astype(np.float32) @ unlabelled + decay * w)
-        b -= 0.1 * pace * float(gp.sum() + gu.sum())
+        w -= pace * (gw + decay * w)
+        b -= 0.1 * pace * gb
     return w, b
 
 
-def fit_scale(margin: np.ndarray, label: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through labelled margins, by Newton's method."""
-    x = np.stack([margin, np.ones_like(margin)], 1).astype(np.float64)
-    a = np.array([1.0, 0.0])
-    for _ in range(steps):
-        p = sigmoid(x @ a)
-        hessian = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
-        a -= np.linalg.solve(hessian, x.T @ (p - label) + 1e-3 * (a - [1.0, 0.0]))
-    return float(max(a[0], 1e-3)), float(a[1])
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 2) -> float:
+    """Share of positives among the unlabelled, by the best bin.
+
+    On held-out folds of a first classifier's margins: above any threshold the
+    unlabelled text holds at least prior times the positives' share, so the
+    ratio of the two shares bounds the prior from above.  The threshold taken
+    has the least ratio once a margin for its sampling error is added.
+    """
+    found = []
+    for fold in range(folds):
+        p, u = (np.arange(len(x)) % folds == fold for x in (positive, unlabelled))
+        w, b = fit_pu(positive[~p], unlabelled[~u], 0.5)
+        zp, zu = np.sort(positive[p] @ w + b), np.sort(unlabelled[u] @ w + b)
+        cut = np.quantile(zp, np.linspace(0, 0.95, 200))
+        own, all_ = 1 - np.searchsorted(zp, cut) / len(zp), 1 - np.searchsorted(zu, cut) / len(zu)
+        error = (np.log(40) / 2) ** 0.5 * (len(zp) ** -0.5 + len(zu) ** -0.5)
+        at = int(np.argmin((all_ + error) / own))
+        found.append(all_[at] / own[at])
+    return float(np.clip(np.mean(found), 0.03, 0.97))
+
+
+def feature_rows(texts: pa.Array) -> np.ndarray:
+    return np.stack([features(t.as_py()) for t in texts]) if len(texts) else np.zeros((0, BINS + DENSE), np.float32)
+
 
+def _features_of(rows: DataFrame) -> DataFrame:
+    """rows(text, kind) -> their features."""
 
-def _features_of(rows: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t.as_py()).astype(np.float16).tobytes() for t in b.column(0)]
+            x = [row.tobytes() for row in feature_rows(b.column(0)).astype(np.float16)]
             yield pa.record_batch([pa.array(x, pa.binary()), b.column(1)], ["x", "kind"])
 
-    return rows.select(text_col, "kind").mapInArrow(run, "x binary, kind int")
+    return rows.mapInArrow(run, "x binary, kind int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> tuple[np.ndarray, float] | None:
     """The model from rows outside the held-out fold; None without a trusted positive."""
     ids = docs.where(~held_out(id_col, FOLDS, HELD_OUT)).select(F.col(id_col).alias("id")).where("id is not null").distinct()
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").join(ids, "id", "left_semi")
-    known = written(known, "labels")
-    share = known.agg(F.count(F.lit(1)), F.sum("label")).first()
-    if not share[1]:
-        return None
-    prior = min(0.97, share[1] / share[0])
-    order = [F.xxhash64("id", F.lit(11)), "id"]
-    # kinds 0 and 1: labelled; 2: a trusted positive; 3: unlabelled text
-    trusted = known.where("label = 1").orderBy(*order).limit(sample).select("id", F.lit(2).alias("kind"))
-    labelled = known.orderBy(F.xxhash64("id", F.lit(12)), "id").limit(sample).select("id", F.col("label").alias("kind"))
-    unlabelled = ids.orderBy(F.xxhash64("id", F.lit(13)), "id").limit(sample).select("id", F.lit(3).alias("kind"))
-    wanted = written(trusted.unionAll(labelled).unionAll(unlabelled), "wanted")
-    # 3 * sample ids at most: small whatever the tables hold
-    rows = docs.select(F.col(id_col).alias("id"), text_col).join(F.broadcast(wanted), "id")
-    got = _features_of(rows, text_col).toArrow()
+    trusted = labels.where(F.col(label_col).cast("int") == 1).select(F.col(id_col).alias("id")).distinct().join(ids, "id", "left_semi")
+    # kinds 1: a trusted positive; 0: unlabelled text
+    trusted = trusted.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(sample).select("id", F.lit(1).alias("kind"))
+    unlabelled = ids.orderBy(F.xxhash64("id", F.lit(13)), "id").limit(sample).select("id", F.lit(0).alias("kind"))
+    wanted = written(trusted.unionAll(unlabelled), "wanted")
+    # 2 * sample ids at most: small whatever the tables hold; one row of each, however often it is repeated
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(wanted), "id")
+    got = _features_of(rows.groupBy("id", "kind").agg(F.min("text").alias("text")).select("text", "kind")).toArrow()
     kind = got["kind"].to_numpy()
+    if not (kind == 1).any():
+        return None
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, BINS + DENSE).astype(np.float32)
-    order = np.lexsort((x[:, BINS], x[:, BINS + 5], kind))  # the sums below don't depend on the order of arrival
+    order = np.lexsort((x @ np.cos(np.arange(BINS + DENSE, dtype=np.float32)), kind))  # what follows doesn't depend on the order of arrival
     x, kind = x[order], kind[order]
-    w, b = fit_pu(x[kind == 2], x[kind == 3], prior)
-    slope, offset = 1.0, 0.0
-    if (kind == 0).any() and (kind == 1).any():
-        known_x = kind < 2
-        slope, offset = fit_scale(x[known_x] @ w + b, kind[known_x])
-    return slope * w, slope * b + offset
+    mixed = np.random.default_rng(3).permutation(len(x))  # so that folds aren't cut along the order
+    positive, unlabelled = x[mixed][kind[mixed] == 1], x[mixed][kind[mixed] == 0]
+    prior = estimate_prior(positive, unlabelled) if min(len(positive), len(unlabelled)) > 1 else 0.5
+    return fit_pu(positive, unlabelled, prior)
 
 
 def score_column(docs: DataFrame, model: tuple[np.ndarray, float] | None, text_col: str = "text", score: str = "score") -> DataFrame:
     """docs with a last column score."""
     if model is None:
         return docs.withColumn(score, F.lit(0.5))
-    w, bias = model
+    w, bias = model[0].astype(np.float64), model[1]
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = [float(sigmoid(features(t.as_py()) @ w + bias)) for t in b.column(at)]
+            p = sigmoid(feature_rows(b.column(at)).astype(np.float64) @ w + bias)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, score])
 
-    from pyspark.sql.types import DoubleType, StructType
-
     return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(score, DoubleType()))
 
 
