@@ -5,7 +5,14 @@ distribution for each language, by expectation maximisation over all
 segmentations of the words; a text's likelihood under a language is the
 product over its words of the sum over all segmentations, by the forward
 algorithm.  Words are lower-cased white-space runs with a boundary mark before
-them; a character without a piece is an unknown piece of its own.
+them; a character without a piece is an unknown piece of its own.  Beside the
+languages stands a background under which all pieces are equally likely: the
+score is the posterior of the best language against the others and the
+background, so text of no learnt language scores low.
+
+A long word, such as a sentence of a script without spaces, is cut wherever no
+piece of the vocabulary spans, which leaves the sum over all segmentations as
+it is; what remains long is taken character by character.
 
 The fit uses a bounded sample: about SAMPLE documents of a language, by a hash
 of the id.  Everything else covers every whole text.
@@ -32,14 +39,14 @@ from pyspark.sql.types import DoubleType, StringType, StructType
 from tessera.llm.runtime import held_out, table, written
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_PIECE = 8
 SAMPLE = 1500
 ROUNDS = 3
 FOLDS, HELD_OUT = 4, 2
 MARK = "▁"
 #: Characters whose words are scored together.
 BLOCK_CHARS = 2_000_000
-LONG_WORD = 40
+#: Words of more characters are cut; units of more than LONG_UNIT are taken one by one.
+LONG_WORD, LONG_UNIT = 40, 64
 _BASE, _MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 _SLOT_BITS = 18
 
@@ -49,10 +56,11 @@ class Pieces:
 
     def __init__(self, pieces: list[str]) -> None:
         self.pieces, self.n = pieces, len(pieces)  # n: the id of the unknown piece; n + 1 stands for no piece
-        self.power = _BASE ** np.arange(MAX_PIECE + 1, dtype=np.uint64)
+        self.longest = max(map(len, pieces), default=1)
+        self.power = _BASE ** np.arange(self.longest + 1, dtype=np.uint64)
         hashes = np.zeros(self.n, np.uint64)
         sizes = np.fromiter(map(len, pieces), np.int64, self.n)
-        for size in range(1, MAX_PIECE + 1):
+        for size in sorted(set(sizes.tolist())):
             at = np.flatnonzero(sizes == size)
             codes = np.frombuffer("".join([pieces[i] for i in at]).encode("utf-32-le"), np.uint32).reshape(-1, size)
             for c in codes.T.astype(np.uint64):
@@ -68,7 +76,7 @@ class Pieces:
             slots = self.slots(hashes[put], tries[best])
             self.keys[level, slots], self.ids[level, slots] = hashes[put], put
             rest = np.setdiff1d(rest, put)
-        self.unused = len(rest)  # pieces in neither table, one or two of the vocabulary: they match nothing
+        self.rest = [(hashes[i], i) for i in rest]  # in neither table, one or two of a vocabulary: looked up by themselves
 
     def __reduce__(self):
         return _pieces, (tuple(self.pieces),)  # tasks get the pieces and build the tables once a process
@@ -85,8 +93,51 @@ class Pieces:
         if len(miss):
             at = self.slots(h[miss], self.mix[1])
             out[miss] = np.where(self.keys[1][at] == h[miss], self.ids[1][at], self.n + 1)
+            for key, i in self.rest:
+                out[miss[h[miss] == key]] = i
         return out
 
+    def windows(self, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(size, ids of the piece of that size that begins at each place) of one word's codes."""
+        h = np.zeros(len(codes), np.uint64)
+        for size in range(1, min(self.longest, len(codes)) + 1):
+            h = h[: len(codes) - size + 1] * _BASE + codes[size - 1 :]
+            yield size, self.find(h)
+
+    def cut(self, word: str) -> list[str]:
+        """The word's parts between the places that no piece spans."""
+        codes = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        spans = np.zeros(len(codes) + 1, np.int64)
+        for size, ids in self.windows(codes):
+            if size > 1:
+                at = np.flatnonzero(ids < self.n)
+                spans += np.bincount(at + 1, minlength=len(spans)) - np.bincount(at + size, minlength=len(spans))
+        where = [0, *np.flatnonzero(np.cumsum(spans)[1:-1] == 0) + 1, len(codes)]
+        return [word[a:b] for a, b in zip(where, where[1:])]
+
+    def units(self, word: str) -> list[str]:
+        return self.cut(MARK + word) if len(word) > LONG_WORD else [MARK + word]
+
+    def one_by_one(self, codes: np.ndarray, probability: np.ndarray, chunk: int = 4096) -> np.ndarray:
+        """Forward algorithm over one long unit: probability [n + 2, languages], the last row 0 -> [languages]."""
+        m, scale = self.longest, np.zeros(probability.shape[1])
+        past = np.zeros((m, probability.shape[1]))  # at places end - m to end - 1
+        past[-1] = 1
+        for lo in range(0, len(codes), chunk):
+            first = max(0, lo - m + 1)
+            part = codes[first : lo + chunk]
+            ends = np.full((len(part), m), self.n + 1)  # the piece that begins m, ..., 1 before the end
+            for size, ids in self.windows(part):
+                ends[size - 1 :, m - size] = np.where(ids > self.n, self.n, ids) if size == 1 else ids
+            each = probability[ends[lo - first :]]
+            for p in each:
+                now = (past * p).sum(axis=0)
+                past[:-1] = past[1:]
+                past[-1] = 1
+                past[:-1] /= now
+                scale += np.log(now)
+        return scale
+
     def matches(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """codes [words, length] -> (end, size, rows, piece ids), ends ascending."""
         n, length = codes.shape
@@ -94,7 +145,7 @@ class Pieces:
         for j in range(length):
             prefix[j + 1] = prefix[j] * _BASE + codes[:, j]
         for end in range(1, length + 1):
-            for size in range(1, min(MAX_PIECE, end) + 1):
+            for size in range(1, min(self.longest, end) + 1):
                 ids = self.find(prefix[end] - prefix[end - size] * self.power[size])
                 if size == 1:
                     yield end, 1, slice(None), np.where(ids > self.n, self.n, ids)
@@ -108,15 +159,15 @@ class Pieces:
         for end, size, rows, ids in self.matches(codes):
             if size == 1:
                 if end % 16 == 0:  # against underflow in long words
-                    top = np.maximum.reduce(alpha[-MAX_PIECE:])
-                    alpha, scale = [a / top for a in alpha[-MAX_PIECE:]], scale + np.log(top)
+                    top = np.maximum.reduce(alpha[-self.longest :])
+                    alpha, scale = [a / top for a in alpha[-self.longest :]], scale + np.log(top)
                 alpha.append(alpha[-1] * probability[ids])
             else:
                 alpha[-1][rows] += alpha[-1 - size][rows] * probability[ids]
         return np.log(alpha[-1]) + scale
 
     def expected(self, codes: np.ndarray, counts: np.ndarray, probability: np.ndarray) -> np.ndarray:
-        """Forward-backward: expected piece counts [n + 1] of weighted words of up to LONG_WORD characters."""
+        """Forward-backward: expected piece counts [n + 1] of weighted units."""
         n, length = codes.shape
         found = list(self.matches(codes))
         alpha, beta = np.zeros((length + 1, n)), np.zeros((length + 1, n))
@@ -141,23 +192,23 @@ def load_pieces(path: str = VOCABULARY) -> Pieces:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     special = lambda i: model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)
-    return Pieces([p for i in range(model.get_piece_size()) if not special(i) and len(p := model.id_to_piece(i)) <= MAX_PIECE])
+    return Pieces([model.id_to_piece(i) for i in range(model.get_piece_size()) if not special(i)])
 
 
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(indices, codes [words, length + 1]) of words of one length, the boundary mark first."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
+def by_length(units: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(indices, codes [units, length]) of units of one length."""
+    sizes = np.fromiter(map(len, units), np.int64, len(units))
     order = np.argsort(sizes, kind="stable")
     cuts = np.flatnonzero(np.diff(sizes[order])) + 1
     for at in np.split(order, cuts):
         if not len(at):
             continue
         size = int(sizes[at[0]])
-        step = max(1, 400_000 // (size + 1))
+        step = max(1, 400_000 // size)
         for lo in range(0, len(at), step):
             part = at[lo : lo + step]
-            joined = "".join([MARK + words[i] for i in part]).encode("utf-32-le", "surrogatepass")
-            yield part, np.frombuffer(joined, np.uint32).reshape(len(part), size + 1).astype(np.uint64)
+            joined = "".join([units[i] for i in part]).encode("utf-32-le", "surrogatepass")
+            yield part, np.frombuffer(joined, np.uint32).reshape(len(part), size).astype(np.uint64)
 
 
 def words_of(text: str | None) -> list[str]:
@@ -184,7 +235,7 @@ def fit(docs: DataFrame, pieces: Pieces, sample: int = SAMPLE, rounds: int = ROU
                 for text, lang in zip(b.column(0), b.column(1)):
                     c = words.setdefault(number[lang.as_py()], Counter())
                     for w in words_of(text.as_py()):
-                        c.update([w[i : i + LONG_WORD] for i in range(0, len(w), LONG_WORD)])
+                        c.update([u[i : i + LONG_UNIT] for u in pieces.units(w) for i in range(0, len(u), LONG_UNIT)])
                 for k, c in words.items():
                     keys, counts = list(c), np.fromiter(c.values(), np.float64, len(c))
                     for at, codes in by_length(keys):
@@ -200,15 +251,28 @@ def fit(docs: DataFrame, pieces: Pieces, sample: int = SAMPLE, rounds: int = ROU
 
 
 def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, pieces: Pieces, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
-    """docs with two last columns: the language and its posterior under equal priors."""
-    at = docs.columns.index(text_col)
+    """docs with two last columns: the language and its posterior under equal priors of the languages and the background."""
+    at, count = docs.columns.index(text_col), len(langs)
+    probability = np.column_stack([probability, np.full(len(probability), 1 / len(probability))])
 
     def judged(texts: list[str | None]) -> tuple[list[str], list[float]]:
         words = [words_of(t) for t in texts]
         index = {w: i for i, w in enumerate(dict.fromkeys(w for ws in words for w in ws))}
-        score = np.zeros((len(index), len(langs)))
-        for rows, codes in by_length(list(index)):
-            score[rows] = pieces.log_likelihood(codes, probability)
+        units = [pieces.units(w) for w in index]
+        of = {u: i for i, u in enumerate(dict.fromkeys(u for us in units for u in us))}
+        each = np.zeros((len(of), count + 1))
+        padded = np.vstack([probability, np.zeros(count + 1)])
+        for rows, codes in by_length(list(of)):
+            if codes.shape[1] <= LONG_UNIT:
+                each[rows] = pieces.log_likelihood(codes, probability)
+            else:
+                for i, unit in zip(rows, codes):
+                    each[i] = pieces.one_by_one(unit, padded)
+        score = np.zeros((len(index), count + 1))
+        if units:
+            sizes = np.fromiter(map(len, units), np.int64, len(units))
+            flat = np.fromiter((of[u] for us in units for u in us), np.int64, int(sizes.sum()))
+            score = np.add.reduceat(each[flat], np.cumsum(sizes) - sizes)
         out, sure = [], []
         for text, ws in zip(texts, words):
             if not langs or not text or not any(map(str.isalpha, text)):
@@ -216,9 +280,9 @@ def predict(docs: DataFrame, langs: list[str], probability: np.ndarray, pieces:
                 sure.append(0.0)
                 continue
             total = score[np.fromiter(map(index.__getitem__, ws), np.int64, len(ws))].sum(axis=0)
-            best = int(np.argmax(total))
+            best = int(np.argmax(total[:count]))
             out.append(langs[best])
-            sure.append(float(1 / np.exp(total - total[best]).sum()))
+            sure.append(float(1 / np.exp(np.minimum(total - total[best], 700)).sum()))
         return out, sure
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
