@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import n_words, table, written
+from tessera.llm.runtime import WORD, n_words, table, written
 
 WEIGHTS = (5, 2, 1)
 #: Relative weight of a source at evenly spaced knots of training time, straight
@@ -63,16 +63,17 @@ def when_demanded(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
     return out
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
     """For every row of docs: id, size, source_size, target, taken, taken_again, position, position_again.
 
     taken counts all words that the mix takes of the document and taken_again
     those of later draws; the positions are those of the first and second draw.
+    keep: those working columns with rank and the amounts, in no order.
     """
     slim = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("key"))
     slim = written(slim, "sizes")
     sources = written(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, float(most)), "targets")
-    rows = slim.join(sources, slim["source"].eqNullSafe(sources["source"])).drop(slim["source"]).select("id", "size", "key", "rank", "source_size", "target")
+    rows = slim.join(sources, slim["source"].eqNullSafe(sources["source"])).drop(slim["source"])
 
     # running sums within a source, though one source may hold most rows: by two
     # hex digits of the key at a time, every window holds 256 sums at most
@@ -100,23 +101,41 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2, id_
         at = when_demanded((n * F.col("source_size") + F.col("start")) / F.col("target"), F.col("rank"))
         return F.when(drawn(n) > 0, F.round(at, 9))
 
+    amounts = ["size", "source_size", "target", taken.alias("taken"), (taken - draws[0]).alias("taken_again")]
+    if keep:
+        return rows.select(*keep, "rank", *amounts)
     return rows.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"), (taken - draws[0]).alias("taken_again"),
-        position(0).alias("position"), (position(1) if most > 1 else F.lit(None).cast("double")).alias("position_again"),
+        F.col("id").alias(id_col), *amounts, position(0).alias("position"), (position(1) if most > 1 else F.lit(None).cast("double")).alias("position_again"),
     ).orderBy(F.col("position").asc_nulls_last(), id_col)
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
     """The rows of docs that the mix draws, once for each draw of at least half of the document, range-sorted by position.
 
-    Rows that share an id share one decision, that of the row drawn first.
+    Of a source, the n-th draw takes the documents up to a cut-off key, so a
+    row decides by itself, and rows of one id alike.  Positions follow from the
+    source's words before each of 256 ranges of keys and are interpolated
+    within a range.  Texts move once, in the range sort.
     """
-    plan = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    first, again = F.col("taken") - F.col("taken_again"), F.col("taken_again")
-    draws = F.filter(F.array(F.when((first > 0) & (2 * first >= F.col("size")), F.col("position")), F.when((again > 0) & (2 * again >= F.col("size")), F.col("position_again"))), lambda x: x.isNotNull())
-    plan = plan.select(F.col(id_col).alias("mix_id"), "position", draws.alias("mix_draws")).groupBy("mix_id").agg(F.min_by("mix_draws", "position").alias("mix_draws"))
-    drawn = docs.join(plan, docs[id_col].eqNullSafe(plan["mix_id"])).withColumn("mix_position", F.explode("mix_draws"))
-    return drawn.repartitionByRange("mix_position", id_col).sortWithinPartitions("mix_position", id_col).select(docs.columns)
+    plan = written(mix(docs, weights, share, most, id_col, text_col, source_col, keep=("source", "key", "start")), "plan")
+    drawn = [F.col("taken") - F.col("taken_again"), F.col("taken_again")][:most]
+    cuts = [F.max(F.when((d > 0) & (2 * d >= F.col("size")), F.col("key"))).alias(f"cut_{i}") for i, d in enumerate(drawn)]
+    sources = plan.groupBy("source").agg(F.first("rank").alias("rank"), F.first("source_size").alias("source_size"), F.first("target").alias("target"), *cuts)
+    ranges = plan.groupBy("source", F.substring("key", 1, 2).alias("range")).agg(F.min("start").alias("from"), F.sum("size").alias("words"))
+    same = ranges["source"].eqNullSafe(sources["source"])
+    known = written(ranges.join(sources, same).select(ranges["source"], "range", "from", "words", "rank", "source_size", "target", *[f"cut_{i}" for i in range(len(cuts))]), "ranges")
+    own = "_".join(docs.columns)  # no column of docs has a name that ends so
+    known = known.select([F.col(c).alias(f"{c}_{own}") for c in known.columns])
+    mine = lambda c: F.col(f"{c}_{own}")
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    into = F.conv(F.substring(key, 3, 8), 16, 10).cast("double") / float(1 << 32)
+    near = mine("from") + into * mine("words")
+    words = F.coalesce(F.col(text_col).rlike(WORD), F.lit(False))
+    at = [F.when((key <= mine(f"cut_{i}")) & words, when_demanded((i * mine("source_size") + near) / mine("target"), mine("rank"))) for i in range(len(cuts))]
+    met = docs.join(known, F.col(source_col).eqNullSafe(mine("source")) & (F.substring(key, 1, 2) == mine("range")))
+    place = f"place_{own}"
+    rows = met.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.filter(F.array(*at), lambda x: x.isNotNull())).alias(place))
+    return rows.repartitionByRange(place, id_col).sortWithinPartitions(place, id_col).select(docs.columns)
 
 
 def op7_curriculum_mix(spark, sf_dir: str) -> DataFrame:

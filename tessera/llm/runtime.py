@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Tables written and not yet discarded.
+_paths: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -36,9 +40,25 @@ def written(df: DataFrame, name: str, partition_by: list[str] | None = None) ->
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """Where the list of written tables stands."""
+    return len(_paths)
+
+
+def discard(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the tables written since the mark, but for those that keep reads; nothing lazy may need them any more."""
+    files = [f.replace("file:///", "/").replace("file:/", "/") for f in keep.inputFiles()]
+    for path in _paths[since:]:
+        if not any(f.startswith(path.replace("file://", "")) or path in f for f in files):
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _paths.remove(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
