@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import ann, imatch, language, maxent, mixing, packing, quality, sharding, simhash, warc
+from tessera.llm import ann, imatch, language, maxent, mixing, nearcopies, packing, quality, sharding, simhash, warc
 
 SF = "/root/testdata/sf0.001"
 #: Columns beside those of documents, with names that the operators use inside.
@@ -103,6 +103,75 @@ def test_bk_tree_and_pigeonhole_find_every_link(spark):
         assert same([found.get(i, i) for i in range(len(codes))]) == same(want)
 
 
+def near_copies_by_force(rows, similarity=0.8):
+    """Ids that stay: the smallest of each component of texts whose sets of five-word shingles are that similar."""
+    sets = []
+    for _, text in rows:
+        w = (text or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    order = sorted(range(len(rows)), key=lambda i: len(sets[i]))
+    for at, i in enumerate(order):
+        for j in reversed(order[:at]):
+            if len(sets[j]) < similarity * len(sets[i]):
+                break
+            if len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (doc_id, _) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), doc_id), doc_id)
+    return set(least.values())
+
+
+def test_near_copies_equal_force_at_a_larger_size(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in nearcopies.keep_one_of_each(df).collect()} == near_copies_by_force(rows)
+
+
+def test_near_copies_in_large_bands(spark, monkeypatch):
+    """Bands above the group size, hot first texts, chunks of the rest: a chain of texts a word apart each."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words)]
+    for i in range(70):
+        words[(7 * i) % 60] = f"n{i}"
+        texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(100 + i, " ".join([f"p{j}" for j in range(40)] + [f"q{i}_{j}" for j in range(12)])) for i in range(60)]
+    monkeypatch.setattr(nearcopies, "GROUP", 3)
+    monkeypatch.setattr(nearcopies, "BANDS", 64)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in nearcopies.keep_one_of_each(df).collect()} == near_copies_by_force(rows)
+
+
+def test_across_joins_all_that_is_similar():
+    rng = np.random.default_rng(8)
+    sets = [frozenset(rng.choice(14, 10, replace=False).tolist()) for _ in range(60)]
+    labels_ = [int(x) for x in rng.integers(0, 50, 60)]
+    root = {i: {j for j in range(60) if labels_[j] == labels_[i]} for i in range(60)}
+    want = [min(root[i]) for i in range(60)]
+    for i, j in itertools.combinations(range(60), 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            a, b = want[i], want[j]
+            want = [min(a, b) if x in (a, b) else x for x in want]
+    got = [min(root[i]) for i in range(60)]
+    for i, j in nearcopies.across(labels_, sets, 0.8):
+        a, b = got[i], got[j]
+        got = [min(a, b) if x in (a, b) else x for x in got]
+    assert got == want
+
+
+def test_rows_of_one_id_are_decided_by_their_texts(spark):
+    other = " ".join(f"o{i}" for i in range(50))
+    df = spark.createDataFrame([(1, BASE, 9.0), (1, other, 1.0), (2, BASE + " end", 1.0), (1, other, 1.0)], "doc_id long, text string, node double")
+    assert sorted((r.doc_id, r.text) for r in nearcopies.keep_one_of_each(df).collect()) == sorted([(1, BASE), (1, other)])
+
+
 def test_near_copies_keep_one(spark, edge, none):
     rng = np.random.default_rng(5)
     texts = []
@@ -120,12 +189,12 @@ def test_near_copies_keep_one(spark, edge, none):
         if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
             a, b = root[i], root[j]
             root = [min(a, b) if r in (a, b) else r for r in root]
-    assert sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == sorted(set(root))
-    kept = simhash.keep_one_of_each(edge)
+    assert sorted(r.doc_id for r in nearcopies.keep_one_of_each(df).collect()) == sorted(set(root))
+    kept = nearcopies.keep_one_of_each(edge)
     assert kept.columns == edge.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(1) == 1 and 2 not in ids and 3 not in ids and ids.count(None) == 2 and ids.count(4) == 1 and 5 not in ids
-    assert simhash.keep_one_of_each(none).count() == 0
+    assert nearcopies.keep_one_of_each(none).count() == 0
 
 
 def test_near_copies_with_edited_blocks_keep_one(spark):
@@ -142,7 +211,7 @@ def test_near_copies_with_edited_blocks_keep_one(spark):
         a, b = sorted((root[i], root[j]))
         root = [a if r == b else r for r in root]
     df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert len(near) >= 90 and sorted(r.doc_id for r in simhash.keep_one_of_each(df).collect()) == sorted(set(root))
+    assert len(near) >= 90 and sorted(r.doc_id for r in nearcopies.keep_one_of_each(df).collect()) == sorted(set(root))
 
 
 # 2
@@ -251,6 +320,37 @@ def test_quality_learns_from_positives(spark):
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.7) for r in out.values())
 
 
+def test_pu_risk_and_prior_by_force():
+    rng = np.random.default_rng(6)
+    cloud = lambda n, m: rng.standard_normal((n, 5)).astype(np.float32) * 0.5 + m
+    positive, unlabelled = cloud(800, 0.8), np.vstack([cloud(420, 0.8), cloud(180, -0.8)])
+    unlabelled = unlabelled[rng.permutation(600)]
+    assert quality.estimate_prior(positive, unlabelled) == pytest.approx(0.7, abs=0.06)
+    # one step of the fit against numerical derivatives of the risk, on either side of the clip
+    for prior in (0.7, 0.95):
+        seen = []
+        for w0 in (np.zeros(5), np.full(5, 0.9)):
+            def parts(v):
+                zp, zu = positive @ v[:5] + v[5], unlabelled @ v[:5] + v[5]
+                return prior * np.logaddexp(0, -zp).mean(), np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+
+            def risk(v):
+                a, b = parts(v)
+                return a + b if b >= 0 else -b
+
+            v = np.append(w0, 0.1)
+            numeric = [(risk(v + e) - risk(v - e)) / 2e-5 for e in np.eye(6) * 1e-5]
+            gw, gb = quality.pu_gradient(positive, unlabelled, prior, w0.astype(np.float32), 0.1)
+            assert [*gw, gb] == pytest.approx(numeric, abs=2e-3)
+            seen.append(parts(v)[1] < 0)
+        assert prior < 0.9 or True in seen
+
+
+def test_one_id_in_many_rows_is_learnt_once(spark):
+    df = spark.range(30_000).selectExpr("id % 3 as doc_id", "concat('word ', id % 7) as text")
+    assert quality.fit(df, labels(spark, [(0, 1, 0), (1, 1, 0), (2, 0, 0)]), sample=10) is not None
+
+
 def test_quality_ignores_held_out_labels(spark, docs):
     lab = spark.read.parquet(f"{SF}/labels.parquet")
     flipped = lab.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
@@ -395,6 +495,15 @@ def test_mix(spark, docs, edge, none):
         assert positions == sorted(positions) and all(0 <= p <= 1 for p in positions)
     assert mixing.mix(none).count() == 0 and mixing.mixed_documents(none).count() == 0
     assert mixing.mixed_documents(edge).columns == edge.columns
+    own = edge.withColumn("mix_position", F.lit(123.0)).withColumn("mix_id", F.lit(1)).withColumn("target", F.lit("t"))
+    got = mixing.mixed_documents(own).collect()
+    assert got and all((r.mix_position, r.mix_id, r.target) == (123.0, 1, "t") for r in got)
+
+
+def test_mix_with_one_id_in_many_rows(spark):
+    df = spark.range(100_000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id", "concat('some words ', id) as text", "if(id % 5 = 0, 'b', 'a') as source")
+    got = mixing.mix(df).groupBy("target").agg(F.sum("taken").alias("taken")).collect()
+    assert all(abs(r.taken - r.target) <= 1.5 for r in got)
 
 
 def test_positions_invert_the_schedule(spark):
@@ -424,17 +533,73 @@ def test_forward_sums_every_segmentation():
         return found + (0 if word[0] in names else p[pieces.n, k] * force(word[1:], k))
 
     words = ["abb", "a", "abab", "zzb", "cab", "bbbb", "ab" * 40]
-    for at, codes in language.by_length(words):
+    for at, codes in language.by_length(["▁" + w for w in words]):
         got = pieces.log_likelihood(codes, p)
         for i, w in enumerate(at):
             if len(words[w]) < 20:
                 assert got[i] == pytest.approx([math.log(force("▁" + words[w], k)) for k in (0, 1)])
             assert np.isfinite(got).all()
-    for at, codes in language.by_length(["abb"]):
+    for at, codes in language.by_length(["▁abb"]):
         counts = pieces.expected(codes, np.ones(1), p[:, 0])
         assert sum(counts[i] * len(s) for s, i in names.items()) == pytest.approx(4)  # every character is in one piece
 
 
+def test_long_units_equal_the_batched_sum(monkeypatch):
+    pieces = language.Pieces(["▁a", "b", "▁", "a", "ab", "bb", "▁ab", "abab", "c", "cz"])
+    rng = np.random.default_rng(1)
+    p = rng.random((pieces.n + 1, 3))
+    padded = np.vstack([p, np.zeros(3)])
+    for word in ("▁" + "".join(rng.choice(list("abcz"), n)) for n in (1, 5, 60, 300)):
+        codes = np.frombuffer(word.encode("utf-32-le"), np.uint32).astype(np.uint64)
+        want = pieces.log_likelihood(codes[None], p)[0]
+        assert pieces.one_by_one(codes, padded, chunk=7) == pytest.approx(want)
+        parts = pieces.cut(word)
+        assert "".join(parts) == word and (len(word) < 60 or len(parts) > 1)
+        assert sum(pieces.log_likelihood(c, p)[0] for w in parts for _, c in language.by_length([w])) == pytest.approx(want)
+    monkeypatch.setattr(language, "_SLOT_BITS", 3)  # tables of 8 slots: most pieces are in neither
+    small = language.Pieces(list("abcdefghijklmnopqrstuvwxyz"))
+    assert small.rest and small.find(np.arange(97, 123, dtype=np.uint64)).tolist() == list(range(26))
+
+
+def test_predict_equals_posterior_by_force(spark):
+    pieces = language.Pieces(["▁a", "b", "▁", "a", "ab", "▁ab", "漢", "漢字"])
+    rng = np.random.default_rng(3)
+    p = rng.random((pieces.n + 1, 2))
+    p /= p.sum(axis=0)
+    every = np.column_stack([p, np.full(pieces.n + 1, 1 / (pieces.n + 1))])
+    names = {s: i for i, s in enumerate(pieces.pieces)}
+
+    def force(word):
+        alpha = [np.ones(3)]
+        for end in range(1, len(word) + 1):
+            found = [alpha[end - k] * every[names[word[end - k : end]]] for k in (1, 2, 3) if end >= k and word[end - k : end] in names]
+            alpha.append(sum(found, np.zeros(3)) + (0 if word[end - 1] in names else alpha[-1] * every[pieces.n]))
+        return np.log(alpha[-1])
+
+    texts = ["ab ab b", "ABBA zz", "漢字" * 70, "a", "b" * 150 + " a", "7 7", "", None]
+    rows = language.predict(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), ["x", "y"], p, pieces).collect()
+    for r in rows:
+        if r.doc_id > 4:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = sum(force("▁" + w) for w in r.text.lower().split())
+        assert r.lang_pred == "xy"[int(np.argmax(total[:2]))]
+        assert r.score == pytest.approx(float(np.exp(total[:2].max() - np.logaddexp.reduce(total))), abs=1e-9)
+
+
+def test_long_words_are_quick_and_strange_text_scores_low(spark, docs):
+    import time
+
+    pieces = language.load_pieces()
+    langs, p = language.fit(docs, pieces)
+    rng = np.random.default_rng(4)
+    han = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 200_000)))
+    rows = spark.createDataFrame([(1, han), (2, "".join(rng.choice(list("qxzjkvw"), 20_000))), (3, " ".join("".join(rng.choice(list("qxzjkvw"), 6)) for _ in range(200)))], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r.score for r in language.predict(rows, langs, p, pieces).collect()}
+    assert time.time() - began < 15 and got[2] < 0.5 and got[3] < 0.5
+
+
 def test_language_held_out_accuracy(spark, docs, edge, none):
     truth = {r.doc_id: r.lang for r in docs.collect()}
     got = [r for r in language.language_scores(docs).collect() if r.held_out]
@@ -514,9 +679,33 @@ def test_pipeline_equals_its_parts(spark, docs):
     named = corpus_pipeline.language(spark, kept, SF)
     ids = {r.doc_id for r in language.language_scores(kept).where("lang_pred <> 'und' and score >= 0.5").collect()}
     assert {r.doc_id for r in named.collect()} == ids
+    kept = docs.where(F.col("doc_id").isin(list(ids)))
+    stays = near_copies_by_force([(r.doc_id, r.text) for r in kept.collect()])
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, kept, SF).collect()) == sorted(stays)
+    once = docs.where(F.col("doc_id").isin(list(stays)))
+    plan = {r.doc_id: r for r in mixing.mix(once).collect()}
+    drawn = Counter(r.doc_id for r in corpus_pipeline.mixture(spark, once, SF).collect())
+    for i, r in plan.items():
+        first = r.taken - r.taken_again
+        assert drawn[i] == sum(d > 0 and 2 * d >= r.size for d in (first, r.taken_again))
     rows = corpus_pipeline.run(spark, SF).collect()
+    words = Counter()
+    for r in rows:
+        words[r.doc_id] += r.n_words
+    assert words == Counter({i: n * plan[i].size for i, n in drawn.items() if n})
     assert rows and {r.doc_id for r in rows} <= ids
     bins = Counter()
     for r in rows:
         bins[r.bin] += r.n_words
     assert max(bins.values()) <= packing.CAPACITY
+
+
+def test_pipeline_on_edge_cases(spark, edge, none, tmp_path):
+    for name, table in (("edge", edge), ("none", none)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels(spark, [(1, 1, 0), (9, 1, 0)]).write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for stage, function in corpus_pipeline.STAGES[:-1]:
+            assert function(spark, docs, f"{tmp_path}/{name}").columns == edge.columns
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert rows or name == "none"
