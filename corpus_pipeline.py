@@ -1,4 +1,11 @@
-"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next."""
+"""A training corpus from raw documents: five stages, each written as Parquet and read again by the next.
+
+Cases.  Each stage keeps to its operator's: a null or empty text is scored by
+the quality model and goes with the languages, as it has none; a null id is
+kept by every filter that its text passes and is never a near copy; of
+repeated rows one stays; an empty table passes through every stage; columns
+beside those of documents come through the first four under their own names.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm.language import keep_identified
 from tessera.llm.mixing import mixed_documents
+from tessera.llm.nearcopies import keep_one_of_each
 from tessera.llm.packing import pack
 from tessera.llm.quality import keep_good
-from tessera.llm.runtime import table, written
-from tessera.llm.simhash import keep_one_of_each
+from tessera.llm.runtime import discard, mark, table, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +51,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; what a stage wrote beside its result, and its predecessor's result, are deleted once it is done."""
     docs = table(spark, sf_dir, "documents")
+    since = mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(spark, since, keep=docs)
     return docs
