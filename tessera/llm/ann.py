@@ -7,7 +7,8 @@ query's running threshold are reranked on the original vectors in double
 precision.  Centroids, rotation, thresholds to start from and the number of
 lists to probe are fitted on a bounded sample; every row is indexed.
 
-Queries go in blocks of bounded size, each against one scan of the index.
+Queries are sent to the lists that they probe; a task holds a chunk of a list
+and takes its queries a batch at a time.
 
 Cases.  Vectors that are null, all zero, or hold null or non-finite components
 take no part, nor do rows without an id and vectors of another length than the
@@ -19,7 +20,6 @@ Only the columns named are read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,17 +27,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import shared_dir, table, written
+from tessera.llm.runtime import table, written
 
 SAMPLE = 4096
 MAX_LISTS = 1024
-#: Queries of one block; the block, its probes and its thresholds are what a scan's tasks get.
-BLOCK = 4096
+#: Rows of a list that one task holds at a time; pairs of a query and a row that are estimated at a time.
+CHUNK, BLOCK = 32_768, 1 << 21
+#: Bits to which a query's components are rounded for the estimate.
+LEVELS = 6
+#: Share of pairs that may reach their query's floor above which they are reranked by one matrix product.
+DENSE = 0.05
 #: Share of the sample's true neighbours that the probed lists must hold.
 COVER = 0.995
 #: Standard deviations of the estimate's error that the bound allows for.
 BOUND = 2.6
 SEED = 5
+NAMES = ["list", "chunk", "kind", "id", "code", "norm", "fit", "x"]
 
 
 def fit_index(x: np.ndarray, n: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -75,49 +80,79 @@ def encode(x: np.ndarray, centroids: np.ndarray, rotation: np.ndarray) -> tuple[
     return owner, np.packbits(r > 0, axis=1), norm, np.where(norm > 0, fit, 1.0)
 
 
-class Block:
-    """A block of queries, and the best found for each so far in one task."""
+def best_of(i: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (query, id, score) triples, each query's k best, ties to the smaller id; an id counts once."""
+    order = np.lexsort((ids, -score, i))
+    i, ids, score = i[order], ids[order], score[order]
+    pair = np.lexsort((np.arange(len(i)), ids, i))
+    again = np.zeros(len(i), bool)
+    again[pair[1:]] = (i[pair[1:]] == i[pair[:-1]]) & (ids[pair[1:]] == ids[pair[:-1]])
+    i, ids, score = i[~again], ids[~again], score[~again]
+    top = np.arange(len(i)) - np.searchsorted(i, i) < k
+    return i[top], ids[top], score[top]
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, centroids: np.ndarray, rotation: np.ndarray, probes: int, k: int) -> None:
-        self.ids, self.q, self.floor, self.k = ids, q, floor.copy(), k
-        self.turned, self.dot = (q @ rotation).astype(np.float32), q @ centroids.T
-        chosen = np.argpartition(-self.dot, probes - 1, axis=1)[:, :probes] if len(q) else np.zeros((0, 1), int)
-        self.wanted = np.zeros(self.dot.shape, bool)
-        np.put_along_axis(self.wanted, chosen, True, axis=1)
-        self.length = np.linalg.norm(q, axis=1)
-        self.found: list[np.ndarray] = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
-    def scan(self, lst: int, ids: np.ndarray, bits: np.ndarray, norm: np.ndarray, fit: np.ndarray, x: np.ndarray) -> None:
-        """Rows of one list: estimate, bound, rerank what may reach a query's threshold."""
+class Shard:
+    """Rows of one list: packed codes as 64-bit words, correction scalars, original vectors."""
+
+    def __init__(self, ids: np.ndarray, bits: np.ndarray, norm: np.ndarray, fit: np.ndarray, x: np.ndarray, centroid: np.ndarray, rotation: np.ndarray) -> None:
+        self.ids, self.norm, self.x, self.centroid, self.rotation = ids, norm, x, centroid, rotation
         d = x.shape[1]
-        mine = np.flatnonzero(self.wanted[:, lst])
-        signs = np.unpackbits(bits, axis=1, count=d).astype(np.float32) * 2 - 1
-        for lo in range(0, len(mine), 512):
-            at = mine[lo : lo + 512]
-            estimate = (self.turned[at] @ signs.T) * (norm / (fit * d**0.5)).astype(np.float32) + self.dot[at, lst, None].astype(np.float32)
-            spread = norm * np.sqrt(np.maximum(0, 1 - fit**2)) / fit / max(1, d - 1) ** 0.5
-            bound = estimate + (BOUND * self.length[at, None] * spread + 1e-5 * (self.length[at, None] * (norm + 1))).astype(np.float32)
-            a, b = np.nonzero(bound >= self.floor[at, None])
-            for s in range(0, len(a), 200_000):
-                i, j = at[a[s : s + 200_000]], b[s : s + 200_000]
-                own = self.ids[i] != ids[j]
-                i, j = i[own], j[own]
-                score = np.einsum("ij,ij->i", self.q[i], x[j])
-                self.keep(i, ids[j], score)
-
-    def keep(self, i: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
-        good = score >= self.floor[i]
-        i, ids, score = (np.concatenate([a, b[good]]) for a, b in zip(self.found, (i, ids, score)))
-        order = np.lexsort((ids, -score, i))
-        i, ids, score = i[order], ids[order], score[order]
-        fresh = np.ones(len(i), bool)
-        fresh[1:] = (i[1:] != i[:-1]) | (ids[1:] != ids[:-1])
-        i, ids, score = i[fresh], ids[fresh], score[fresh]
-        rank = np.arange(len(i)) - np.searchsorted(i, i)
-        top = rank < self.k
-        last = rank == self.k - 1
-        self.floor[i[last]] = np.maximum(self.floor[i[last]], score[last])
-        self.found = [i[top], ids[top], score[top]]
+        self.words = packed_words(bits)
+        self.ones = np.bitwise_count(self.words).sum(axis=1, dtype=np.int64).astype(np.float32)
+        self.scale = norm / (fit * d**0.5)
+        self.spread = norm * np.sqrt(np.maximum(0, 1 - fit**2)) / fit / max(1, d - 1) ** 0.5
+        self.repeats = int(np.unique(ids, return_counts=True)[1].max(initial=1))
+
+    def estimate(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated inner products [queries, rows] and their upper bounds.
+
+        A rotated query is rounded to LEVELS-bit steps and kept as bit planes, so
+        that the sum of its components where a code has ones is a sum of counts
+        of common bits.
+        """
+        d, n = q.shape[1], len(self.ids)
+        turned = q @ self.rotation
+        low = turned.min(axis=1)
+        step = np.maximum((turned.max(axis=1) - low) / ((1 << LEVELS) - 1), 1e-300)
+        rounded = np.rint((turned - low[:, None]) / step[:, None]).astype(np.uint8)
+        common = np.zeros((len(q), n), np.uint16)
+        for level in range(LEVELS):
+            plane = packed_words(np.packbits(rounded >> level & 1, axis=1))
+            for w in range(plane.shape[1]):
+                common += np.bitwise_count(plane[:, w, None] & self.words[None, :, w]).astype(np.uint16) << np.uint16(level)
+        within = low[:, None] * self.ones + step[:, None] * common
+        estimate = (2 * within - turned.sum(axis=1)[:, None]) * self.scale + (q @ self.centroid)[:, None]
+        length = np.linalg.norm(q, axis=1)[:, None]
+        rounding = 3 * step[:, None] * (d / 6) ** 0.5 * self.scale
+        return estimate, estimate + BOUND * length * self.spread + rounding + 1e-6 * length * (self.norm + 1)
+
+    def search(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, id, score) of each query's k best rows with a score of its floor or more."""
+        may = self.estimate(q)[1] >= floor[:, None]
+        may &= ids[:, None] != self.ids[None, :]
+        if may.mean() > DENSE:  # so many to rerank that one product is cheaper than gathering them
+            exact = np.where(may, q @ self.x.T, -np.inf)
+            least, most = floor.copy(), k * self.repeats
+            if exact.shape[1] > most:
+                least = np.maximum(least, np.partition(exact, exact.shape[1] - most, axis=1)[:, exact.shape[1] - most])
+            may = exact >= (least - 1e-9 * (np.abs(np.where(np.isfinite(least), least, 0)) + 1))[:, None]
+            may &= np.isfinite(exact)
+        i, j = np.nonzero(may)
+        found = []
+        for lo in range(0, len(i), 200_000):
+            a, b = i[lo : lo + 200_000], j[lo : lo + 200_000]
+            score = np.einsum("ij,ij->i", q[a], self.x[b])
+            good = score >= floor[a]
+            found.append((a[good], self.ids[b[good]], score[good]))
+        return best_of(*map(np.concatenate, zip(*found)), k) if found else (i, self.ids[j], np.zeros(0))
+
+
+def packed_words(bits: np.ndarray) -> np.ndarray:
+    """Rows of bytes as rows of 64-bit words."""
+    out = np.zeros((len(bits), -(-bits.shape[1] // 8) * 8), np.uint8)
+    out[:, : bits.shape[1]] = bits
+    return out.view(np.uint64)
 
 
 def sound(vector: Column) -> Column:
@@ -125,7 +160,7 @@ def sound(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score): for each row where queries holds, its k nearest other rows."""
     spark = vectors.sparkSession
     out_schema = f"query_id long, rank int, {id_col} long, score double"
@@ -148,42 +183,77 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col:
             code = pa.array([r.tobytes() for r in bits], pa.binary())
             yield pa.record_batch([b["id"], b["asks"], pa.array(owner.astype(np.int32)), code, pa.array(norm), pa.array(fit), b["x"]], ["id", "asks", "list", "code", "norm", "fit", "x"])
 
-    indexed = written(rows.mapInArrow(index, "id long, asks boolean, list int, code binary, norm double, fit double, x array<double>").sortWithinPartitions("list"), "index")
-    asking = indexed.where("asks").groupBy("id").agg(F.min("x").alias("x"))
-    blocks = max(1, -(-asking.count() // block))
-    path = f"{shared_dir(spark)}/neighbours-{uuid.uuid4().hex}"
-    for i in range(blocks):
-        part = asking.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == i).toArrow()
-        ids, q = part["id"].to_numpy(), matrix(part["x"]) if part.num_rows else np.zeros((0, d))
-        floor = np.full(len(ids), -np.inf)
-        start = Block(ids, q, floor, centroids, rotation, len(centroids), k)
-        for lo in range(0, len(ids), 512):  # the k best within the sample: no answer lies below the last of them
+    indexed = written(rows.mapInArrow(index, "id long, asks boolean, list int, code binary, norm double, fit double, x array<double>"), "index")
+    # one number for each of the lists
+    chunks = {r["list"]: -(-r["count"] // CHUNK) for r in indexed.groupBy("list").count().collect()}
+    asking = written(indexed.where("asks").groupBy("id").agg(F.min("x").alias("x")), "queries")
+
+    def in_sample(ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Each query's k best of the sample, and a floor: no answer lies below the last of these."""
+        found, floor = [], np.full(len(ids), -np.inf)
+        for lo in range(0, len(ids), 512):
             s = q[lo : lo + 512] @ sample_x.T
             s[ids[lo : lo + 512, None] == sample_ids] = -np.inf
             top = np.argpartition(-s, min(k, s.shape[1]) - 1, axis=1)[:, :k]
-            a, j = np.repeat(np.arange(lo, lo + len(s)), top.shape[1]), top.ravel()
-            other = ids[a] != sample_ids[j]
-            start.keep(a[other], sample_ids[j[other]], np.einsum("ij,ij->i", q[a[other]], sample_x[j[other]]))
-        found_i, found_id, found_score = start.found
-        floor = start.floor - 1e-9 * np.abs(np.where(np.isfinite(start.floor), start.floor, 0))
-        spark.createDataFrame(pa.table({"query_id": pa.array(ids[found_i] if len(ids) else [], pa.int64()), "id": pa.array(found_id), "score": pa.array(found_score)})).write.mode("append").parquet(path)
-
-        def search(batches: Iterator[pa.RecordBatch], ids=ids, q=q, floor=floor) -> Iterator[pa.RecordBatch]:
-            best = Block(ids, q, floor, centroids, rotation, probes, k)
-            for b in batches:
-                if not b.num_rows:
+            i, j = np.repeat(np.arange(lo, lo + len(s)), top.shape[1]), top.ravel()
+            other = ids[i] != sample_ids[j]
+            i, j = i[other], j[other]
+            found.append(best_of(i, sample_ids[j], np.einsum("ij,ij->i", q[i], sample_x[j]), k))
+        i, got, score = map(np.concatenate, zip(*found)) if found else (np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0))
+        full = np.flatnonzero(np.bincount(i, minlength=len(ids)) == k)
+        np.minimum.at(low := np.full(len(ids), np.inf), i, score)
+        floor[full] = low[full] - 1e-9 * (np.abs(low[full]) + 1)
+        return i, got, score, floor
+
+    def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b["id"].to_numpy()
+            i, got, score, _ = in_sample(ids, matrix(b["x"]))
+            yield pa.record_batch([pa.array(ids[i]), pa.array(got), pa.array(score)], ["query_id", "id", "score"])
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, q = b["id"].to_numpy(), matrix(b["x"])
+            floor = in_sample(ids, q)[3]
+            near = np.argpartition(-(q @ centroids.T), probes - 1, axis=1)[:, :probes]
+            for lst, of in sorted(chunks.items()):
+                mine = np.flatnonzero((near == lst).any(axis=1))
+                for chunk in range(of if len(mine) else 0):
+                    same = lambda v: pa.array(np.full(len(mine), v, np.int32))  # noqa: B023, E731
+                    yield pa.record_batch([same(lst), same(chunk), same(1), pa.array(ids[mine]), pa.nulls(len(mine), pa.binary()), pa.array(floor[mine]), pa.nulls(len(mine), pa.float64()), b["x"].take(pa.array(mine))], NAMES)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, shard = None, [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            place = np.stack([b[c].to_numpy() for c in ("list", "chunk", "kind")], axis=1)
+            cuts = [0, *(np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+            for lo, hi in zip(cuts, cuts[1:]):
+                part, (lst, chunk, kind) = b.slice(lo, hi - lo), place[lo].tolist()
+                if (lst, chunk) != key:
+                    key, held, shard = (lst, chunk), [], None
+                if kind == 0:
+                    held.append(part)
                     continue
-                lists, x = b["list"].to_numpy(), matrix(b["x"])
-                bits = np.frombuffer(b"".join(b["code"].to_pylist()), np.uint8).reshape(b.num_rows, -1)
-                row, norm, fit = b["id"].to_numpy(), b["norm"].to_numpy(), b["fit"].to_numpy()
-                cuts = [0, *(np.flatnonzero(lists[1:] != lists[:-1]) + 1).tolist(), b.num_rows]
-                for lo, hi in zip(cuts, cuts[1:]):
-                    best.scan(int(lists[lo]), row[lo:hi], bits[lo:hi], norm[lo:hi], fit[lo:hi], x[lo:hi])
-            i, found, score = best.found
-            yield pa.record_batch([pa.array(ids[i] if len(i) else np.zeros(0, np.int64)), pa.array(found), pa.array(score)], ["query_id", "id", "score"])
-
-        indexed.select("id", "list", "code", "norm", "fit", "x").mapInArrow(search, "query_id long, id long, score double").write.mode("append").parquet(path)
-    found = spark.read.schema("query_id long, id long, score double").parquet(path)
+                if shard is None:
+                    col = lambda c: np.concatenate([h[c].to_numpy() for h in held])  # noqa: B023, E731
+                    bits = np.frombuffer(b"".join(v for h in held for v in h["code"].to_pylist()), np.uint8).reshape(sum(h.num_rows for h in held), -1)
+                    shard = Shard(col("id"), bits, col("norm"), col("fit"), np.concatenate([matrix(h["x"]) for h in held]), centroids[lst], rotation)
+                ids, q, floor = part["id"].to_numpy(), matrix(part["x"]), part["norm"].to_numpy()
+                step = max(16, BLOCK // len(shard.ids))
+                for at in range(0, len(ids), step):
+                    i, found, score = shard.search(ids[at : at + step], q[at : at + step], floor[at : at + step], k)
+                    yield pa.record_batch([pa.array(ids[at + i]), pa.array(found), pa.array(score)], ["query_id", "id", "score"])
+
+    number = F.element_at(F.create_map(*[F.lit(v) for x in chunks.items() for v in x]), F.col("list"))
+    stored = indexed.select("list", F.pmod(F.xxhash64("id", "x"), number).cast("int").alias("chunk"), F.lit(0).alias("kind"), "id", "code", "norm", "fit", "x")
+    asked = asking.mapInArrow(route, "list int, chunk int, kind int, id long, code binary, norm double, fit double, x array<double>")
+    place = ["list", "chunk"]
+    # rows of a chunk come first, then its queries, a batch of which is in memory at a time
+    met = stored.unionAll(asked).repartition(*place).sortWithinPartitions(*place, "kind", "id")
+    triples = "query_id long, id long, score double"
+    found = met.mapInArrow(search, triples).unionAll(asking.mapInArrow(seeds, triples))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = found.repartition("query_id").groupBy("query_id", "id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

@@ -262,8 +262,9 @@ def test_packing_loses_no_word(spark, docs, edge, none):
 # 3
 
 
-def test_neighbours_recall_and_cases(spark):
-    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_neighbours_recall_and_cases(spark, sf):
+    e = spark.read.parquet(f"/root/testdata/sf{sf}/embeddings.parquet")
     rows = e.orderBy("vec_id").collect()
     x, ids = np.array([r.embedding for r in rows], float), np.array([r.vec_id for r in rows])
     got = defaultdict(list)
@@ -296,11 +297,47 @@ def test_rotated_codes_bound_the_estimate():
     x = rng.standard_normal((2000, 32))
     centroids, rotation, _ = ann.fit_index(x[:1000], 2000, 10)
     owner, bits, norm, fit = ann.encode(x, centroids, rotation)
-    q = rng.standard_normal(32)
-    signs = np.unpackbits(bits, axis=1, count=32) * 2.0 - 1
-    estimate = (signs @ (q @ rotation)) * norm / (fit * 32**0.5) + centroids[owner] @ q
-    spread = norm * np.sqrt(1 - fit**2) / fit / 31**0.5 * np.linalg.norm(q)
-    assert np.mean(np.abs(estimate - x @ q) <= ann.BOUND * spread) > 0.97
+    assert ann.packed_words(bits).tobytes() == np.pad(bits, ((0, 0), (0, 4))).tobytes()
+    for lst in np.unique(owner)[:5]:
+        at = owner == lst
+        shard = ann.Shard(np.flatnonzero(at), bits[at], norm[at], fit[at], x[at], centroids[lst], rotation)
+        q = rng.standard_normal((40, 32))
+        estimate, bound = shard.estimate(q)
+        signs = np.unpackbits(bits[at], axis=1, count=32) * 2.0 - 1
+        plain = ((q @ rotation) @ signs.T) * norm[at] / (fit[at] * 32**0.5) + (q @ centroids[lst])[:, None]
+        assert (np.abs(estimate - plain) < 0.04 * np.linalg.norm(q, axis=1)[:, None] * norm[at]).all()
+        assert np.mean(bound >= q @ x[at].T) > 0.98 and np.mean(2 * estimate - bound <= q @ x[at].T) > 0.98
+
+
+def test_neighbours_of_repeated_vectors_and_ids(spark, monkeypatch):
+    """A third of all rows are one vector, and one id has a third; both ways to rerank; chunks of a list."""
+    rng = np.random.default_rng(9)
+    x = rng.integers(-3, 4, (400, 8)).astype(float)
+    x[(x == 0).all(axis=1)] = 1
+    ids = np.arange(400)
+    x[130:260], ids[260:390] = x[0], 7
+    rows = list(zip(ids.tolist(), x.tolist()))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for dense, chunk in ((0.05, 32_768), (1.0, 40)):
+        monkeypatch.setattr(ann, "DENSE", dense)
+        monkeypatch.setattr(ann, "CHUNK", chunk)
+        got = defaultdict(list)
+        for r in ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, k=5).collect():
+            got[r.query_id].append((r.rank, r.score, r.vec_id))
+        hit = n = 0
+        for q in range(0, 400, 20):
+            of = [v for i, v in rows if i == q]
+            if not of:
+                continue
+            best = {}
+            for i, v in rows:
+                if i != q:
+                    best[i] = max(best.get(i, -1e9), float(np.dot(v, min(of))))
+            want = sorted((-s, i) for i, s in best.items())[:5]
+            mine = [(-s, i) for _, s, i in sorted(got[q])]
+            hit, n = hit + len(set(want) & set(mine)), n + 5
+            assert [r for r, _, _ in sorted(got[q])] == [1, 2, 3, 4, 5]
+        assert hit >= 0.95 * n
 
 
 # 4
