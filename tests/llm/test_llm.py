@@ -421,21 +421,93 @@ def test_language_model_counts_and_scores(spark, docs, edge):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_language_model_tail_join_equals_head(spark, docs, monkeypatch):
+def test_language_model_tail_join_equals_head(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     score = lambda: {r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in maxent.lm_scores(docs).collect()}
     whole = score()
-    monkeypatch.setattr(maxent.head_counts, "__defaults__", (4000,))  # the rest of the counts are joined
+    monkeypatch.setattr(maxent.head_counts, "__defaults__", (30_000,))  # the rest of the counts are joined
     assert score() == whole
 
 
+def random_model(rng, scale=0.3):
+    counts = rng.integers(0, 50, maxent.CELLS).astype(float)
+    model = maxent.MaxEnt(counts, np.ones(maxent.CELLS, bool))
+    model.class_rows += rng.standard_normal(model.class_rows.shape).astype(np.float32) * scale
+    model.word_rows += rng.standard_normal(model.word_rows.shape).astype(np.float32) * scale
+    return model
+
+
+def rows_by_force(one, two, cls=None):
+    keys = maxent.Events.features(np.array([one]), np.array([two]))
+    bits = maxent.CLASS_ROWS_BITS if cls is None else maxent.WORD_ROWS_BITS
+    return [int(r[0]) for r in maxent.MaxEnt.rows(keys, bits, None if cls is None else np.array([cls], np.uint64))]
+
+
+def softmax_by_force(bias, weights, rows):
+    z = bias.astype(float) + sum(weights[r].astype(float) for r in rows)
+    return np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+
+
+def events_by_force(texts):
+    """(one, two, cell) of every token of texts given as cells."""
+    symbol = lambda c: c if c < maxent.CELLS - maxent.TAIL else maxent.CELLS - maxent.TAIL + c % maxent.TAIL_CONTEXTS
+    for text in texts:
+        past = [maxent.CELLS, maxent.CELLS]
+        for c in text:
+            yield past[-1], past[-2], c
+            past.append(symbol(c))
+
+
 def test_language_model_sums_to_one():
-    rng = np.random.default_rng(0)
-    model = maxent.MaxEnt(np.array([50, 30, 10]), 7)
-    model.class_rows += rng.standard_normal(model.class_rows.shape).astype(np.float32) * 0.3
-    model.word_rows += rng.standard_normal(model.word_rows.shape).astype(np.float32) * 0.3
-    m = maxent.CLASSES * maxent.SLOTS
-    keys = np.repeat(maxent.MaxEnt.features(np.array([1, 2, 3]), np.array([0]))[:, 2:3], m, axis=1)
-    assert np.exp(model.log_probability(np.arange(m), keys)).sum() == pytest.approx(1, abs=1e-4)
+    model = random_model(np.random.default_rng(0))
+    total = 0.0
+    for cell in range(0, maxent.CELLS):
+        if cell % maxent.SLOTS == 0:
+            events = maxent.Events(np.array([x for c in range(cell, cell + maxent.SLOTS) for x in (1, 2, c)]), np.arange(0, 3 * maxent.SLOTS, 3))
+            total += np.exp(model.log_probability(events)[2::3]).sum()
+    assert total == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_scores_and_steps_equal_force():
+    rng = np.random.default_rng(1)
+    texts = [rng.choice([3, 70, 71, 400, maxent.CELLS - 1, maxent.CELLS - 30], n).tolist() for n in (1, 2, 30, 45, 7)]
+    starts = np.cumsum([0, *map(len, texts[:-1])])
+    events = maxent.Events(np.array([c for t in texts for c in t]), starts)
+    model = random_model(rng, 0.1)
+    flat = list(events_by_force(texts))
+    want = []
+    for one, two, cell in flat:
+        cls, slot = divmod(cell, maxent.SLOTS)
+        a = softmax_by_force(model.class_bias, model.class_rows, rows_by_force(one, two))[cls]
+        want.append(math.log(a * softmax_by_force(model.word_bias[cls], model.word_rows, rows_by_force(one, two, cls))[slot]))
+    assert model.log_probability(events) == pytest.approx(want, abs=1e-4)
+    # one step of all events: gradients by single tokens, applied feature by feature
+    classes, words = model.class_rows.astype(float).copy(), model.word_rows.astype(float).copy()
+    for weights, level in ((classes, 0), (words, 1)):
+        gradients = []
+        for one, two, cell in flat:
+            cls, slot = divmod(cell, maxent.SLOTS)
+            rows = rows_by_force(one, two, cls if level else None)
+            g = -softmax_by_force(model.word_bias[cls] if level else model.class_bias, model.word_rows if level else model.class_rows, rows)
+            g[slot if level else cls] += 1
+            gradients.append((rows, g))
+        past = defaultdict(lambda: 1.0)
+        for feature in range(3):
+            sums = defaultdict(lambda: 0.0)
+            for rows, g in gradients:
+                sums[rows[feature]] = sums[rows[feature]] + g
+            for r, g in sums.items():
+                past[r] += float(g @ g)
+                weights[r] += g * maxent.RATE / past[r] ** 0.5
+    trainer = maxent.Trainer(model)
+    trainer.learn(events)
+    assert np.abs(model.class_rows - classes).max() < 1e-4 and np.abs(model.word_rows - words).max() < 1e-4
+    assert trainer.used[0].sum() == 3 * len(flat) == trainer.used[1].sum()
+
+
+def test_language_model_beats_its_base_on_held_out_texts(spark):
+    held = maxent.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(F.sum("n_tokens").alias("n"), F.sum("base_score").alias("b"), F.sum("score").alias("s")).first()
+    assert held.s / held.n > held.b / held.n + 0.1
 
 
 def test_language_model_empty(spark, none):
