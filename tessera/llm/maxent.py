@@ -50,7 +50,7 @@ HEAD = 1 << 18
 FOLDS, HELD_OUT = 7, 2
 ROUNDS = 2
 STEP_EVENTS = 2048
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 18
 RATE = 0.7
 #: Tokens that a learner should have at least, and the sums into which the learners' changes go first.
 LEARNER_TOKENS, SALTS = 1 << 21, 8
