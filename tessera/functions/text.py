@@ -55,7 +55,7 @@ def short_hash(prefix: str, *parts: Column, length: int = 8) -> Column:
 
 
 def number_or_range(text: Column) -> Column:
-    """Digits of the numbers in the text, number words included, two of them as a range; null without any."""
+    """Digits of the numbers in the text, number words included, several of them joined by dashes; the folded text itself without any."""
     tokens = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " ")
     keys = F.create_map(*[F.lit(x) for k, v in NUMBER_WORDS.items() for x in (k, v)])
 
@@ -70,7 +70,7 @@ def number_or_range(text: Column) -> Column:
 
     start = F.struct(F.array().cast("array<int>").alias("found"), F.lit(False).alias("open"))
     found = F.aggregate(tokens, start, lambda a, w: F.when(w == "", a).otherwise(step(a, w)), lambda a: a["found"])
-    return F.when(F.size(found) > 0, F.array_join(F.transform(F.slice(found, 1, 2), lambda x: x.cast("string")), "-"))
+    return F.when(F.size(found) > 0, F.array_join(F.transform(found, lambda x: x.cast("string")), "-")).otherwise(fold(text))
 
 
 def token_estimate(text: Column, round_up: bool = False) -> Column:

@@ -1,7 +1,8 @@
 """Mining surface forms and finding their mentions.
 
 The dictionary of forms is broadcast only while its size is within MOST_FORMS;
-beyond that the same scan is an equality join on word n-grams.
+beyond that the same scan is an equality join on the stretches of text that
+begin and end at word boundaries and are as long as some form.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 MOST_FORMS = 200_000
-MOST_WORDS = 4
+
+
+def in_word(c: str) -> bool:
+    return c.isalnum() or c in "'’"
 
 
 def capitalised_runs(text: Column) -> Column:
@@ -51,8 +55,11 @@ def owned_forms(forms: DataFrame) -> DataFrame:
 
 
 def find_mentions(passages: DataFrame, forms: DataFrame) -> DataFrame:
-    """(para_id, entity, surface, start, end): leftmost-longest mentions of forms(text, entity) on word boundaries, not overlapping."""
-    forms = forms.select("text", "entity")
+    """(para_id, entity, surface, start, end): leftmost-longest mentions of forms(text, entity) on word boundaries, not overlapping.
+
+    A text of several entities is that of the first in order.
+    """
+    forms = owned_forms(forms.select("text", "entity").where("text <> ''"))
     if forms.limit(MOST_FORMS + 1).count() > MOST_FORMS:
         return _joined_mentions(passages, forms)
     entries = [(r["text"], r["entity"]) for r in forms.collect()]
@@ -67,14 +74,13 @@ def find_mentions(passages: DataFrame, forms: DataFrame) -> DataFrame:
             scan.add_word(text, (text, entity))
         if entries:
             scan.make_automaton()
-        word = lambda c: c.isalnum() or c in "'’"
         for b in batches:
             out = []
             for para_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 hits = []
                 for last, (form, entity) in scan.iter(text) if entries and text else ():
                     start, end = last + 1 - len(form), last + 1
-                    if not (start and word(text[start - 1]) or end < len(text) and word(text[end])):
+                    if not (start and in_word(text[start - 1]) or end < len(text) and in_word(text[end])):
                         hits.append((start, -end, form, entity))
                 done = 0
                 for start, end, form, entity in sorted(hits, key=lambda h: h[:2]):
@@ -87,16 +93,23 @@ def find_mentions(passages: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def _joined_mentions(passages: DataFrame, forms: DataFrame) -> DataFrame:
-    """The scan by an equality join of every run of up to MOST_WORDS words with the forms."""
-    text = F.col("text")
-    words = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}'’]+"), 0)
-    marks = F.split(F.regexp_replace(text, r"[\p{L}\p{N}'’]+", "\u0001"), "\u0001")
-    pieces = passages.select("para_id", words.alias("w"), marks.alias("m"))
-    starts = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.aggregate(F.sequence(F.lit(1), i), F.lit(0), lambda a, j: a + F.length(F.element_at("m", j)) + F.when(j < i, F.length(F.element_at("w", j))).otherwise(0)))
-    runs = pieces.where(F.size("w") > 0).withColumn("s", starts).select("para_id", "w", "m", "s", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("i"))
-    runs = runs.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.size("w") - F.col("i") + 1))))
-    surface = F.aggregate(F.sequence(F.lit(1), F.col("k")), F.lit(""), lambda a, j: F.concat(a, F.when(j > 1, F.element_at("m", F.col("i") + j - 1)).otherwise(""), F.element_at("w", F.col("i") + j - 1)))
-    hits = runs.select("para_id", F.element_at("s", F.col("i")).alias("start"), surface.alias("text")).join(forms, "text")
+    """The scan by an equality join; what it tells tasks is the forms' lengths."""
+    lengths = sorted(r[0] for r in forms.select(F.length("text")).distinct().collect())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, starts, found = [], [], []
+            for para_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                text = text or ""
+                ends = {i for i in range(1, len(text) + 1) if i == len(text) or not in_word(text[i])}
+                for i in range(len(text)):
+                    if not i or not in_word(text[i - 1]):
+                        for n in lengths:
+                            if i + n in ends:
+                                ids.append(para_id), starts.append(i), found.append(text[i : i + n])
+            yield pa.record_batch([pa.array(ids, pa.string()), pa.array(starts, pa.int32()), pa.array(found, pa.string())], ["para_id", "start", "text"])
+
+    hits = passages.select("para_id", "text").mapInArrow(run, "para_id string, start int, text string").join(forms, "text")
     items = hits.groupBy("para_id").agg(F.array_sort(F.collect_list(F.struct("start", (-(F.col("start") + F.length("text"))).alias("neg_end"), F.col("text").alias("surface"), "entity"))).alias("hits"))
     start = F.struct(F.lit(0).alias("done"), F.filter("hits", lambda h: F.lit(False)).alias("kept"))
     kept = F.aggregate("hits", start, lambda a, h: F.when(h["start"] >= a["done"], F.struct((-h["neg_end"]).alias("done"), F.concat(a["kept"], F.array(h)).alias("kept"))).otherwise(a), lambda a: a["kept"])

@@ -38,17 +38,36 @@ def conflict_groups(predicates: DataFrame) -> DataFrame:
     return one.join(two, ["predicate", "other"], "left_semi")
 
 
-def cliques(present: DataFrame, conflicts: DataFrame, keys: list[str], rounds: int = 4) -> DataFrame:
-    """present(keys, predicate) -> with clique, the least predicate that conflicts join within the key.
+def cliques(present: DataFrame, conflicts: DataFrame, keys: list[str]) -> DataFrame:
+    """present(keys, predicate) -> with clique, the least predicate that a chain of conflicts joins to it within the key.
 
-    The catalog bounds the predicates of a key, so a fixed number of rounds of
-    taking the least neighbour's label covers every chain that it can have.
+    Rounds of taking the least neighbour's label go on for as long as a chain
+    of the catalog's conflicts can be: the catalog is configuration, so it is
+    walked on the driver.
     """
-    out = present.select(*keys, "predicate").distinct().withColumn("clique", F.col("predicate"))
-    for _ in range(rounds):
-        near = out.select(*keys, F.col("predicate").alias("other"), F.col("clique").alias("near")).join(F.broadcast(conflicts), "other").groupBy(*keys, "predicate").agg(F.min("near").alias("near"))
-        out = out.join(near, [*keys, "predicate"], "left").withColumn("clique", F.least("clique", F.coalesce("near", "clique"))).drop("near")
-    return out
+    near: dict[str, set[str]] = {}
+    for r in conflicts.collect():
+        near.setdefault(r["predicate"], set()).add(r["other"])
+    longest = 0
+    for start in near:  # the longest shortest path bounds the chains of any subset only by its number of predicates
+        seen, front = {start}, {start}
+        while front := {y for x in front for y in near.get(x, ())} - seen:
+            seen |= front
+        longest = max(longest, len(seen) - 1)
+    names = {p: sorted(reach) for p, reach in near.items()}
+    one = present.select(*keys, "predicate").distinct()
+    if not names:
+        return one.withColumn("clique", F.col("predicate"))
+    around = F.create_map(*[x for p, others in sorted(names.items()) for x in (F.lit(p), F.array(*[F.lit(o) for o in others]))])
+    # all predicates of a key, at most the catalog's, and their labels after enough rounds
+    group = one.groupBy(*keys).agg(F.array_sort(F.collect_set("predicate")).alias("all"))
+
+    def spread(labels):
+        least = lambda p: F.array_min(F.concat(F.array(labels[p]), F.transform(F.filter(F.coalesce(F.try_element_at(around, p), F.array().cast("array<string>")), lambda o: F.map_contains_key(labels, o)), lambda o: labels[o])))
+        return F.transform_values(labels, lambda p, _: least(p))
+
+    labels = F.aggregate(F.sequence(F.lit(1), F.lit(max(1, longest))), F.map_from_arrays("all", "all"), lambda acc, _: spread(acc))
+    return group.select(*keys, F.explode(labels).alias("predicate", "clique"))
 
 
 def direction_strength(claims: DataFrame, keys: list[str]) -> DataFrame:
@@ -130,3 +149,34 @@ def pagerank(edges: DataFrame, seeds: DataFrame, rounds: int = 10, alpha: float
         if i % every == every - 1:
             rank = cut(rank)
     return rank
+
+
+def build(claims: DataFrame, predicates: DataFrame, decisions: DataFrame | None = None, gap: float = 0.10) -> tuple[DataFrame, DataFrame]:
+    """The graph of relation claims: (intervals, log of what was settled).
+
+    Ends in canonical order, chains of conflicting predicates as one slot, one
+    predicate a slot and period (a decision of (subject, object, clique, vol,
+    kept) for leads below the gap, else confidence and id), then supersession
+    along the slot.
+    """
+    keys = ["subject", "object", "clique"]
+    c = canonical_direction(claims, predicates).where("subject <> object")
+    slots = cliques(c, conflict_groups(predicates), ["subject", "object"])
+    c = c.join(slots, ["subject", "object", "predicate"])
+    # what is claimed again in one period is one candidate: best confidence, all ids
+    c = c.groupBy(*keys, "predicate", "vol").agg(F.max("confidence").alias("confidence"), F.min("claim_id").alias("first_id"), F.array_sort(F.collect_list("claim_id")).alias("claim_ids"))
+    order = Window.partitionBy(*keys, "vol").orderBy(F.desc("confidence"), "first_id")
+    c = c.withColumn("place", F.row_number().over(order)).withColumn("lead_by", F.round(F.first("confidence").over(order) - F.lead("confidence").over(order), 6))
+    c = c.withColumn("close", F.coalesce(F.max(F.when(F.col("place") == 1, F.col("lead_by"))).over(Window.partitionBy(*keys, "vol")) < gap, F.lit(False)))
+    if decisions is not None:
+        c = c.join(decisions, [*keys, "vol"], "left")
+        named = F.max(F.coalesce(F.col("close") & (F.col("kept") == F.col("predicate")), F.lit(False))).over(Window.partitionBy(*keys, "vol"))
+        wins = F.when(named, F.col("kept") == F.col("predicate")).otherwise(F.col("place") == 1)
+        c = c.withColumn("how", F.when(named, "decision").when(F.col("close"), "rule:higher_confidence_fallback").otherwise("rule:higher_confidence"))
+    else:
+        wins = F.col("place") == 1
+        c = c.withColumn("how", F.when(F.col("close"), "rule:higher_confidence_fallback").otherwise("rule:higher_confidence"))
+    c = c.withColumn("wins", wins).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "vol")))
+    log = c.where("n > 1 and not wins").select(*keys, "vol", F.col("predicate").alias("dropped"), "how")
+    intervals = supersede(c.where("wins").select(*keys, "predicate", "vol", "confidence", "claim_ids"), keys, "predicate", F.col("predicate"))
+    return intervals, log

@@ -87,13 +87,13 @@ def _(spark, sf):
     return table(spark, sf, "customer").join(f, "c_custkey").where((F.col("page") <= 3) & (born <= 3)).select("c_custkey", F.greatest("page", born).alias("listed"))
 
 
-@query("doc_quotes_section", f"""WITH {PASSAGES}, q AS (SELECT chapter_idx, para_id, text, n_words, row_number() OVER (PARTITION BY chapter_idx, left(text, 60) ORDER BY para_id) AS dup FROM para WHERE chapter_idx % 2 = 0),
+@query("doc_quotes_section", f"""WITH {PASSAGES}, q AS (SELECT chapter_idx, para_id, text, n_words, row_number() OVER (PARTITION BY chapter_idx, left(text, 60) ORDER BY para_id) AS dup FROM para),
   s AS (SELECT *, round(0.45 * least(n_words, 25) / 25 + 0.25 * regexp_matches(text, '[.!?]$')::INT + 0.2 * regexp_matches(text, '(^| )I( |$)')::INT, 6) AS score FROM q WHERE dup = 1)
 SELECT chapter_idx, para_id, score FROM s QUALIFY row_number() OVER (PARTITION BY chapter_idx ORDER BY score DESC, para_id) <= 3""")
 def _(spark, sf):
     from tessera.operators.sequences import top_k
 
-    p = passages(spark, sf).where("chapter_idx % 2 = 0")
+    p = passages(spark, sf)
     p = p.withColumn("dup", F.row_number().over(Window.partitionBy("chapter_idx", F.left("text", F.lit(60))).orderBy("para_id"))).where("dup = 1")
     score = F.round(0.45 * F.least("n_words", F.lit(25)) / 25 + 0.25 * F.col("text").rlike("[.!?]$").cast("int") + 0.2 * F.col("text").rlike("(^| )I( |$)").cast("int"), 6)
     return top_k(p.withColumn("score", score), ["chapter_idx"], [F.desc("score"), F.col("para_id")], 3).select("chapter_idx", "para_id", "score")

@@ -145,9 +145,9 @@ def _(spark, sf):
     return flat(table(spark, sf, "benchmark").select("item_id", T.keywords(F.col("text")).alias("words")))
 
 
-@query("text_number_fold", "SELECT * FROM (VALUES (1, '25'), (2, '25'), (3, '25'), (4, '25-30'), (5, '3'), (6, NULL), (7, '40-45')) AS t(i, n)")
+@query("text_number_fold", "SELECT * FROM (VALUES (1, '25'), (2, '25'), (3, '25'), (4, '25-30'), (5, '3'), (6, 'young'), (7, '40-45'), (8, '17-19-21')) AS t(i, n)")
 def _(spark, sf):
-    cases = [(1, "25"), (2, "twenty-five"), (3, "twenty-five years old"), (4, "twenty-five to thirty"), (5, "three"), (6, "young"), (7, "forty to forty-five")]
+    cases = [(1, "25"), (2, "twenty-five"), (3, "twenty-five years old"), (4, "twenty-five to thirty"), (5, "three"), (6, "young"), (7, "forty to forty-five"), (8, "17-19 or 21")]
     return spark.createDataFrame(cases, "i int, t string").select("i", T.number_or_range(F.col("t")).alias("n"))
 
 

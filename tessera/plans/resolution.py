@@ -23,10 +23,10 @@ def _(spark, sf):
     return resolution.scored_pairs(resolution.candidate_pairs(names(spark, sf)))
 
 
-@query("resolve_connected", """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, user_id * 7 % 150 AS b FROM events WHERE event_type = 'signup' AND user_id % 3 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+@query("resolve_connected", """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, user_id * 7 % 150 AS b FROM events WHERE event_type = 'signup'), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
   r AS (SELECT a AS node, a AS root FROM u UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node""")
 def _(spark, sf):
-    e = table(spark, sf, "events").where("event_type = 'signup' and user_id % 3 = 0").select(F.col("user_id").alias("a"), (F.col("user_id") * 7 % 150).alias("b")).distinct()
+    e = table(spark, sf, "events").where("event_type = 'signup'").select(F.col("user_id").alias("a"), (F.col("user_id") * 7 % 150).alias("b")).distinct()
     return resolution.connected(e)
 
 
@@ -90,7 +90,7 @@ def _(spark, sf):
 @query("text_link_mentions", "SELECT c_custkey, '[' || n_name || '](n/' || n_nationkey || ') and ' || n_name AS line FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def _(spark, sf):
     nation = table(spark, sf, "nation")
-    targets = [(r["n_name"], f"n/{r['n_nationkey']}") for r in nation.limit(1000).collect()]  # a catalog
+    targets = [(r["n_name"], f"n/{r['n_nationkey']}") for r in nation.collect()]  # a catalog
     c = table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return c.select("c_custkey", U.linked(F.concat(F.col("n_name"), F.lit(" and "), F.col("n_name")), targets).alias("line"))
 

@@ -10,7 +10,7 @@ from tessera.plans.registry import query
 from tessera.sources.tables import table
 
 BM25 = """dt AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), dl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z]+')) AS len FROM documents),
-  q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM benchmark WHERE item_id % 4 = 0), tf AS (SELECT term, doc_id, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+  q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS term FROM benchmark), tf AS (SELECT term, doc_id, count(*) AS tf FROM dt WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
   st AS (SELECT count(*) AS n, avg(len) AS mean FROM dl),
   score AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * len / mean))) AS score FROM tf JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st JOIN q USING (term) GROUP BY ALL)"""
 RANKED = f"{BM25}, ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM score)"
@@ -19,7 +19,7 @@ COS = """cs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_dot_produc
 
 
 def scored(spark, sf):
-    queries = table(spark, sf, "benchmark").where("item_id % 4 = 0").select(F.col("item_id").alias("query_id"), "text")
+    queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return R.bm25(table(spark, sf, "documents").select("doc_id", "text"), queries)
 
 
@@ -76,5 +76,5 @@ def _(spark, sf):
 @query("retr_facet_queries", "SELECT n_name || ' ' || r_name AS facet FROM nation CROSS JOIN region")
 def _(spark, sf):
     # a catalog of facets times a cast: both configuration
-    facets = [r["r_name"] for r in table(spark, sf, "region").orderBy("r_regionkey").limit(100).collect()]
+    facets = [r["r_name"] for r in table(spark, sf, "region").orderBy("r_regionkey").collect()]
     return table(spark, sf, "nation").select(F.explode(F.array(*[F.concat(F.col("n_name"), F.lit(f" {f}")) for f in facets])).alias("facet"))

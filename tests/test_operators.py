@@ -47,7 +47,7 @@ def test_multi_valued_first_seen_wins(spark):
     assert (r.value, r.vol_start, r.qualifier, r.evidence_count) == ("X", 1, None, 3)
 
 
-@pytest.mark.parametrize(("text", "want"), [("25", "25"), ("twenty-five", "25"), ("twenty-five years old", "25"), ("twenty-five to thirty", "25-30"), ("young", None)])
+@pytest.mark.parametrize(("text", "want"), [("25", "25"), ("twenty-five", "25"), ("twenty-five years old", "25"), ("twenty-five to thirty", "25-30"), ("young", "young"), ("17-19 or 21", "17-19-21"), (" Old  Man ", "old man")])
 def test_number_fold(spark, text, want):
     assert spark.range(1).select(T.number_or_range(F.lit(text))).first()[0] == want
 
@@ -85,15 +85,15 @@ def test_subsume(spark):
 @pytest.mark.parametrize("limit", [M.MOST_FORMS, 0])
 def test_longest_mention(spark, monkeypatch, limit):
     monkeypatch.setattr(M, "MOST_FORMS", limit)  # 0: the same scan as a join
-    forms = spark.createDataFrame([("Shinei Nouzen", 1), ("Nouzen", 2), ("Shin", 3)], "text string, entity int")
-    rows = spark.createDataFrame([("p", "Shinei Nouzen met Shinx")], "para_id string, text string")
-    assert [(r.surface, r.start, r.end) for r in M.find_mentions(rows, forms).collect()] == [("Shinei Nouzen", 0, 13)]
+    forms = spark.createDataFrame([("Orla Brandt", 1), ("Brandt", 2), ("Orl", 3)], "text string, entity int")
+    rows = spark.createDataFrame([("p", "Orla Brandt met Orlx")], "para_id string, text string")
+    assert [(r.surface, r.start, r.end) for r in M.find_mentions(rows, forms).collect()] == [("Orla Brandt", 0, 11)]
 
 
 def test_resolve_by_containment(spark):
-    forms = spark.createDataFrame([("Kraft Lawrence", "k"), ("Norman", "n"), ("Old Bob", "b1"), ("Bob Roe", "b2")], "text string, entity string")
-    texts = spark.createDataFrame([("Kraft",), ("man",), ("Bob",)], "text string")
-    assert {r.text: r.entity for r in M.resolve(texts, forms).collect()} == {"Kraft": "k", "man": None, "Bob": None}
+    forms = spark.createDataFrame([("Mara Lenz", "k"), ("Norman", "n"), ("Old Bob", "b1"), ("Bob Roe", "b2")], "text string, entity string")
+    texts = spark.createDataFrame([("Mara",), ("man",), ("Bob",)], "text string")
+    assert {r.text: r.entity for r in M.resolve(texts, forms).collect()} == {"Mara": "k", "man": None, "Bob": None}
 
 
 def test_votes(spark):
@@ -166,3 +166,23 @@ def test_streaming_supersession_equals_batch(spark, tmp_path):
     got = {tuple(r) for r in twins.run_to_end(twins.superseded(stream), f"s_{uuid.uuid4().hex}").collect()}
     batch = intervals.single_valued_intervals(df.withColumn("claim_id", F.col("vol")).withColumn("confidence", F.lit(0.5))).where("vol_end is not null")
     assert got == {tuple(r) for r in batch.select("subject", "predicate", "value", "vol_start", "vol_end").collect()}
+
+
+def test_mentions_do_not_depend_on_the_number_of_forms(spark, monkeypatch):
+    forms = [("Lord High Keeper of the Seal", 1), ("Lord", 2), ("Keeper of", 3), ("St. Ann's, East", 4), ("East", 5), ("Seal", 6), ("Seal", 9), ("Ann", 7)]
+    texts = ["The Lord High Keeper of the Seal met Lord East.", "At St. Ann's, East Seal; Keeper of Lords. Ann", "", None, "Seal", "East-Seal (Lord)"]
+    f = spark.createDataFrame(forms, "text string, entity int")
+    rows = spark.createDataFrame([(f"p{i}", t) for i, t in enumerate(texts)], "para_id string, text string")
+    few = sorted(M.find_mentions(rows, f).collect())
+    monkeypatch.setattr(M, "MOST_FORMS", 2)
+    assert sorted(M.find_mentions(rows, f).collect()) == few and ("p0", 1, "Lord High Keeper of the Seal", 4, 32) in [tuple(r) for r in few]
+
+
+def test_long_conflict_chains_are_one_clique(spark):
+    names = [f"P{i}" for i in (7, 2, 9, 4, 1, 8, 3, 6, 5)]
+    rows = [(n, True, None, [x for x in (names[i - 1] if i else None, names[i + 1] if i + 1 < len(names) else None) if x], False, None, None) for i, n in enumerate(names)]
+    p = relations.catalog(spark, rows)
+    present = spark.createDataFrame([(1, n) for n in names] + [(2, n) for n in names if n != "P1"] + [(1, "Q")], "k int, predicate string")
+    got = {(r.k, r.predicate): r.clique for r in relations.cliques(present, relations.conflict_groups(p), ["k"]).collect()}
+    assert {got[1, n] for n in names} == {"P1"} and got[1, "Q"] == "Q"
+    assert {got[2, n] for n in ("P7", "P2", "P9", "P4")} == {"P2"} and {got[2, n] for n in ("P8", "P3", "P6", "P5")} == {"P3"}
