@@ -26,5 +26,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    for module in ("core", "relations", "eventlog", "passages", "evaluation", "retrieval", "documents", "probes", "resolution", "checks"):
+    for module in ("core", "relations", "eventlog", "passages", "evaluation", "retrieval", "documents", "probes", "resolution", "checks", "assembly"):
         importlib.import_module(f"tessera.plans.{module}")
