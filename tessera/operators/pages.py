@@ -296,3 +296,59 @@ def evidence_on_change(rows: DataFrame, key: str, vol: str, weight: str, item: s
     shown = upto.select(key, vol, ids.alias("ids"))
     before = F.lag("ids").over(Window.partitionBy(key).orderBy(vol))
     return shown.withColumn("before", before).where(~F.col("ids").eqNullSafe(F.col("before"))).drop("before")
+
+
+# extraction
+
+
+def window_caps(windows: DataFrame, keys: list[str], n: str, each: float, floor: int) -> DataFrame:
+    """windows with cap: a pool of `each` a window, shared by the square roots of their rows; never under the floor."""
+    w = Window.partitionBy(*keys)
+    share = F.bround(F.lit(each) * F.count(F.lit(1)).over(w) * F.sqrt(n) / F.sum(F.sqrt(n)).over(w))
+    return windows.withColumn("cap", F.greatest(F.lit(floor), share.cast("int")))
+
+
+def extract_windows(rows: DataFrame, keys: list[str], pos: str, gap: int, score: str, each: float, floor: int) -> DataFrame:
+    """The best rows of every window of close positions, as many as the window's cap."""
+    clustered = position_clusters(rows, keys, pos, gap)
+    windows = window_caps(clustered.groupBy(*keys, "session").agg(F.count(F.lit(1)).alias("n")), keys, "n", each, floor)
+    ranked = clustered.withColumn("rn_", F.row_number().over(Window.partitionBy(*keys, "session").orderBy(F.desc(score), pos)))
+    return ranked.join(windows.select(*keys, "session", "cap"), [*keys, "session"]).where("rn_ <= cap").drop("rn_", "cap")
+
+
+def assertions(pages: DataFrame, key: str, page: str) -> DataFrame:
+    """(key, line, section, kind, text): what a Markdown page states, line by line, under its last heading."""
+    lines = pages.select(key, F.posexplode(F.split(page, "\n")).alias("line", "raw"))
+    heading = F.when(F.col("raw").rlike("^#+ "), F.regexp_replace("raw", "^#+ ", ""))
+    lines = lines.withColumn("section", F.last(heading, True).over(Window.partitionBy(key).orderBy("line")))
+    stated = lines.where((F.trim("raw") != "") & ~F.col("raw").rlike("^#+ "))
+    bullet = F.col("raw").rlike("^[-*] ")
+    return stated.select(key, "line", "section", F.when(bullet, "bullet").otherwise("prose").alias("kind"), F.regexp_replace("raw", "^[-*] ", "").alias("text"))
+
+
+# more on names
+
+
+def appositive_pairs(rows: DataFrame, text: str, pattern: str) -> DataFrame:
+    """(a, b, n): the first two groups of every match of the pattern, as proposals of a pair."""
+    whole = F.regexp_extract_all(F.lower(text), F.lit(pattern), 0)
+    found = rows.select(F.explode(whole).alias("m"))
+    return found.groupBy(F.regexp_extract("m", pattern, 1).alias("a"), F.regexp_extract("m", pattern, 2).alias("b")).agg(F.count(F.lit(1)).alias("n")).where("a <> b")
+
+
+def name_core(text: Column, titles: list[str]) -> Column:
+    """Lower-case words without titles and leading zeros, sorted."""
+    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(titles))
+    return F.array_join(F.array_sort(F.transform(words, lambda w: F.regexp_replace(w, "^0+(?=.)", ""))), " ")
+
+
+def words_pair_up(a: Column, b: Column, least: float = 80) -> Column:
+    """Whether every word that only one side has is that similar to one that only the other has; false if only one side has any."""
+    near = lambda x, y: (1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))) * 100 >= least
+    covers = lambda p, q: F.forall(F.array_except(p, q), lambda x: F.exists(F.array_except(q, p), lambda y: near(x, y)))
+    return covers(a, b) & covers(b, a)
+
+
+def vocatives(text: Column) -> Column:
+    """Capitalised words that open a line or a quotation and stand before a comma."""
+    return F.regexp_count(text, F.lit("(?:^|[\"“])[A-Z][a-z]+,"))

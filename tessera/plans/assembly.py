@@ -371,3 +371,85 @@ def _(spark, sf):
 SELECT user_id, vol, ids FROM s QUALIFY ids IS DISTINCT FROM lag(ids) OVER (PARTITION BY user_id ORDER BY vol)""")
 def _(spark, sf):
     return P.evidence_on_change(log_events(spark, sf), "user_id", "vol", "k", "event_id", 3)
+
+
+# extraction, inventories, mentions over the corpus
+
+
+@query("extract_windows", f"""WITH {EVENTS}, e AS (SELECT user_id, event_id, event_type, value, vol, CASE WHEN lag(event_id) OVER w IS NULL OR event_id - lag(event_id) OVER w > 400 THEN 1 ELSE 0 END AS fresh FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id) AS session FROM e), n AS (SELECT user_id, session, count(*) AS n FROM s GROUP BY ALL),
+  c AS (SELECT user_id, session, greatest(2, round_even(3::DOUBLE * count(*) OVER w * sqrt(n) / sum(sqrt(n)) OVER w, 0)) AS cap FROM n WINDOW w AS (PARTITION BY user_id)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY user_id, session ORDER BY value DESC, event_id) AS rn FROM s JOIN c USING (user_id, session))
+SELECT user_id, event_type, max(value) AS confidence, min(vol) AS first_vol, count(*) AS n FROM r WHERE rn <= cap GROUP BY ALL""")
+def _(spark, sf):
+    kept = P.extract_windows(log_events(spark, sf), ["user_id"], "event_id", 400, "value", 3.0, 2)
+    return kept.groupBy("user_id", "event_type").agg(F.max("value").alias("confidence"), F.min("vol").alias("first_vol"), F.count(F.lit(1)).alias("n"))
+
+
+@query("score_assertion_inventory", f"""WITH {INTERVALS}, r AS (SELECT subject, value || ' (' || vol_start || coalesce('-' || vol_end, '') || ')' AS text, row_number() OVER (PARTITION BY subject ORDER BY vol_start, interval_id) AS line FROM iv)
+SELECT subject, line::INT AS line, subject::VARCHAR AS section, 'bullet' AS kind, text FROM r""")
+def _(spark, sf):
+    return P.assertions(P.markdown_page(built(spark, sf), "subject", "value"), "subject", "page")
+
+
+CORPUS_FORMS = "forms AS (SELECT w AS text, min(item_id) AS entity FROM (SELECT item_id, unnest(regexp_extract_all(text, '[A-Za-z]{5,}')) AS w FROM benchmark) GROUP BY w)"
+
+
+@query("mention_counts_by_volume", f"""WITH {PASSAGES}, {CORPUS_FORMS}, t AS (SELECT vol, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}''’]+')) AS text FROM para)
+SELECT entity, vol, count(*) AS n FROM t JOIN forms USING (text) GROUP BY ALL""")
+def _(spark, sf):
+    from tessera.operators.mentions import find_mentions
+
+    words = table(spark, sf, "benchmark").select("item_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{5,}"), 0)).alias("text"))
+    forms = words.groupBy("text").agg(F.min("item_id").alias("entity"))
+    rows = passages(spark, sf)
+    found = find_mentions(rows, forms).join(rows.select("para_id", "vol"), "para_id")
+    return found.groupBy("entity", "vol").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("name_appositive_pairs", r"""WITH m AS (SELECT unnest(regexp_extract_all(lower(text), '([a-z]{4,}), ([a-z]{4,}) of')) AS m FROM documents)
+SELECT regexp_extract(m, '([a-z]{4,}), ([a-z]{4,}) of', 1) AS a, regexp_extract(m, '([a-z]{4,}), ([a-z]{4,}) of', 2) AS b, count(*) AS n FROM m WHERE a <> b GROUP BY ALL""")
+def _(spark, sf):
+    return P.appositive_pairs(table(spark, sf, "documents"), "text", "([a-z]{4,}), ([a-z]{4,}) of")
+
+
+@query("name_core", r"SELECT c_custkey, regexp_replace(list_aggregate(list_filter(string_split(lower(c_name), '#'), lambda w: w <> 'customer'), 'string_agg', ' '), '^0+(.)', '\1') AS core FROM customer")
+def _(spark, sf):
+    return table(spark, sf, "customer").select("c_custkey", P.name_core(F.col("c_name"), ["customer"]).alias("core"))
+
+
+@query("name_words_pair_up", """WITH w AS (SELECT p_partkey AS k, list_distinct(string_split(lower(p_type), ' ')) AS w FROM part), p AS (SELECT a.k, list_filter(a.w, lambda x: NOT list_contains(b.w, x)) AS one, list_filter(b.w, lambda x: NOT list_contains(a.w, x)) AS two FROM w a JOIN w b ON b.k = a.k + 1),
+  x AS (SELECT k, unnest(one) AS x, two AS o, 1 AS side FROM p UNION ALL SELECT k, unnest(two), one, 2 FROM p), y AS (SELECT k, x, side, unnest(CASE WHEN len(o) = 0 THEN [NULL] ELSE o END) AS y FROM x),
+  ok AS (SELECT k, x, side, coalesce(max(((1 - levenshtein(x, y) / greatest(length(x), length(y))) * 100 >= 80)::INT), 0) AS ok FROM y GROUP BY ALL)
+SELECT p.k, coalesce(min(ok), 1) = 1 AS pair FROM p LEFT JOIN ok USING (k) GROUP BY p.k""")
+def _(spark, sf):
+    words = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.array_distinct(F.split(F.lower("p_type"), " ")).alias("w"))
+    after = words.select((F.col("k") - 1).alias("k"), F.col("w").alias("v"))
+    return words.join(after, "k").select("k", P.words_pair_up(F.col("w"), F.col("v")).alias("pair"))
+
+
+@query("text_vocatives", f"WITH {PASSAGES} SELECT para_id, len(regexp_extract_all(text, '(?:^|[\"“])[A-Z][a-z]+,')) AS n FROM para")
+def _(spark, sf):
+    return passages(spark, sf).select("para_id", P.vocatives(F.col("text")).alias("n"))
+
+
+@query("sink_json_lines", "SELECT conv_id, turn, role, text FROM conversations")
+def _(spark, sf):
+    from tessera.operators.lineage import scratch
+    from tessera.sources.store import write_json_lines
+
+    rows, path = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text"), scratch(spark, "lines")
+    write_json_lines(rows, path)
+    return spark.read.schema(rows.schema).json(path)
+
+
+@query("sink_call_log", "SELECT role AS stage, count(*) AS calls, sum(length(text))::BIGINT AS size FROM conversations GROUP BY role")
+def _(spark, sf):
+    from tessera.operators.lineage import scratch
+    from tessera.sources.store import append
+
+    path, c = scratch(spark, "calls"), table(spark, sf, "conversations")
+    for stage in ("user", "assistant", "system", "tool"):
+        append(c.where(F.col("role") == stage).select(F.col("role").alias("stage"), "text"), path)
+    append(c.where(~F.col("role").isin("user", "assistant", "system", "tool")).select(F.col("role").alias("stage"), "text"), path)
+    return spark.read.parquet(path).groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.length("text")).alias("size"))

@@ -171,23 +171,26 @@ def _(spark, sf):
     return relations.subsume(values, ["k"])
 
 
-@query("graph_ppr_k10", f"""WITH RECURSIVE {RELATIONS}, e AS (SELECT subject AS a, object AS b, count(*)::DOUBLE AS w FROM rel GROUP BY ALL),
+PPR = f"""WITH RECURSIVE {RELATIONS}, e AS (SELECT subject AS a, object AS b, count(*)::DOUBLE AS w FROM rel GROUP BY ALL),
   u AS (SELECT a, b, sum(w) AS w FROM (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e WHERE a <> b) GROUP BY a, b),
   p AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS p FROM u), n AS (SELECT DISTINCT a AS node FROM p), k AS (SELECT node, CASE WHEN node = 'NATION_3' THEN 0.15 ELSE 0 END::DOUBLE AS jump, (SELECT count(*) FROM n) AS n FROM n),
   r AS (SELECT 0 AS i, list({{'node': node, 's': 1.0::DOUBLE / n}}) AS ranks FROM k
     UNION ALL SELECT i + 1, (SELECT list({{'node': node, 's': jump + 0.85::DOUBLE * coalesce(f, 0)}}) FROM k LEFT JOIN (SELECT b, sum(p * x.r.s) AS f FROM (SELECT unnest(r.ranks) AS r) x JOIN p ON p.a = x.r.node GROUP BY b) g ON g.b = k.node) FROM r WHERE i < 10)
-SELECT x.node, round(x.s, 9) AS score FROM (SELECT unnest(ranks) AS x FROM r WHERE i = 10)""")
+SELECT x.node, round(x.s, 9) AS score FROM (SELECT unnest(ranks) AS x FROM r WHERE i = 10)"""
+
+
+@query("graph_ppr_k10", PPR)
 def _(spark, sf):
     e = relation_claims(spark, sf).groupBy(F.col("subject").alias("a"), F.col("object").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     seeds = spark.read.parquet(f"{sf}/nation.parquet").where("n_name = 'NATION_3'").select(F.col("n_name").alias("node"))
     return relations.pagerank(e, seeds, rounds=10).select("node", F.round("score", 9).alias("score"))
 
 
-@query("graph_ppr_topk")
+@query("graph_ppr_topk", f"SELECT node, score FROM ({PPR}) WHERE node <> 'NATION_3' ORDER BY score DESC, node LIMIT 5")
 def _(spark, sf):
     e = relation_claims(spark, sf).groupBy(F.col("subject").alias("a"), F.col("object").alias("b")).agg(F.count(F.lit(1)).cast("double").alias("w"))
     seeds = spark.read.parquet(f"{sf}/nation.parquet").where("n_name = 'NATION_3'").select(F.col("n_name").alias("node"))
-    return relations.pagerank(e, seeds, rounds=10).where("node <> 'NATION_3'").orderBy(F.desc(F.round("score", 9)), "node").limit(5)
+    return relations.pagerank(e, seeds, rounds=10).where("node <> 'NATION_3'").select("node", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "node").limit(5)
 
 
 @query("rel_mentions_unshown", f"""WITH {REL_INTERVALS}, shown AS (SELECT object AS n FROM riv WHERE {NOW} AND subject = 'NATION_3' UNION SELECT subject FROM riv WHERE {NOW} AND object = 'NATION_3')

@@ -37,3 +37,8 @@ def read_volumes(spark: SparkSession, path: str, upto: int, schema: str | None =
 
 def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Rows added to a log; what is there stays."""
+    rows.write.mode("append").parquet(path)

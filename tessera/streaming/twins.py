@@ -47,13 +47,15 @@ def superseded(claims: DataFrame) -> DataFrame:
     """Closed intervals of a single-valued predicate as periods arrive in order; keeps the open interval of each key.
 
     claims(subject, predicate, vol, value), one row a period.  An interval
-    comes out when its successor is seen.
+    comes out when its successor is seen; a null value says nothing.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         value, start = held.get if held.exists else (None, None)
         out = []
         for r in pd.concat(list(batches)).sort_values("vol").itertuples(index=False):
+            if r.value is None:
+                continue
             if value is not None and r.value.strip().lower() == value.strip().lower():
                 continue
             if value is not None:
