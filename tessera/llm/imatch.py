@@ -2,9 +2,13 @@
 
 Terms whose inverse document frequency lies in a band form the lexicon; each
 of several random subsets of the lexicon gives one hash of a text's distinct
-terms in it, sorted; the fingerprint is the list of these.  A subset of which
-the text has no term gives a dash, and a text without any term in any subset
-is known by its digest alone.
+terms in it, sorted; the fingerprint is the list of these.  WIDE subsets hold
+three quarters of the lexicon each, and every term is in all of them but one:
+no term of the band goes unheard, so texts with equal fingerprints have the
+same terms in the band.  The other, narrow subsets hold one term in 128: their
+hashes outlast larger edits, as a wide one changes with almost any.  A subset
+of which the text has no term gives a dash, and a text without any term in the
+band is known by its digest alone.
 
 The band bounds the lexicon: a term is in it only if it is in one of RARE
 documents at least, so there are at most RARE times the mean number of distinct
@@ -30,8 +34,9 @@ from tessera.llm.runtime import table, written
 
 #: The band: in one of RARE documents at least, in two of five at most.
 RARE, COMMON = 500, (2, 5)
-#: Lexicon subsets: the k-th has the terms whose SHA-256 has one of CHOSEN as its k-th byte, one in 128.
-SUBSETS, CHOSEN = 32, ("00", "80")
+#: Lexicon subsets: of the first WIDE each leaves out the terms whose SHA-256 begins with its quarter of hex digits,
+#: the k-th of the rest has the terms whose SHA-256 has one of CHOSEN as its k-th byte, one in 128.
+SUBSETS, WIDE, CHOSEN = 32, 4, ("00", "80")
 RANGE_ROWS, MAX_RANGES = 512, 8192
 _MOST = (1 << 63) - 1
 
@@ -41,27 +46,36 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda t: t != ""))
 
 
-def lexicon(docs: DataFrame, n: int, text_col: str = "text", subsets: int = SUBSETS) -> DataFrame:
-    """(term, mask): terms of the band that are in some subset; bit k of mask for subset k."""
+def lexicon(docs: DataFrame, n: int, text_col: str = "text") -> DataFrame:
+    """(term, mask): terms of the band; bit k of mask for subset k."""
     counts = docs.select(F.explode(terms(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("term").count()
     band = counts.where((F.col("count") * RARE >= n) & (F.col("count") * COMMON[1] <= n * COMMON[0]))
     band = written(band.select("term", F.sha2("term", 256).alias("sha")), "band")  # so that nothing below runs on terms outside the band
 
+    def bit(k: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
     def more(mask: Column, k: Column) -> Column:
-        return F.when(F.substring("sha", 2 * k + 1, F.lit(2)).isin(*CHOSEN), mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))).otherwise(mask)
+        return F.when(F.substring("sha", 2 * k + 1, F.lit(2)).isin(*CHOSEN), mask.bitwiseOR(bit(k))).otherwise(mask)
 
-    mask = F.aggregate(F.sequence(F.lit(0), F.lit(subsets - 1)), F.lit(0).cast("long"), more)
-    return band.select("term", mask.alias("mask")).where("mask <> 0")
+    quarter = F.floor((F.instr(F.lit("0123456789abcdef"), F.substring("sha", 1, 1)) - 1) / (16 // WIDE)).cast("int")
+    wide = F.lit((1 << WIDE) - 1).cast("long") - bit(quarter)
+    return band.select("term", F.aggregate(F.sequence(F.lit(WIDE), F.lit(SUBSETS - 1)), wide, more).alias("mask"))
 
 
-def hashes(found: Column, subsets: int = SUBSETS) -> Column:
+def hashes(found: Column) -> Column:
     """found, sorted (term, mask) structs -> a hash or a dash for each subset."""
 
-    def one(k: Column) -> Column:
-        mine = F.filter(found, lambda t: F.getbit(t["mask"], k) == 1)
-        return F.when(F.size(mine) == 0, F.lit("-")).otherwise(F.substring(F.md5(F.array_join(F.transform(mine, lambda t: t["term"]), " ")), 1, 8))
+    def of(among: Column, first: int, last: int) -> Column:
+        def one(k: Column) -> Column:
+            mine = F.filter(among, lambda t: F.getbit(t["mask"], k) == 1)
+            return F.when(F.size(mine) == 0, F.lit("-")).otherwise(F.substring(F.md5(F.array_join(F.transform(mine, lambda t: t["term"]), " ")), 1, 8))
+
+        return F.transform(F.sequence(F.lit(first), F.lit(last)), one)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(subsets - 1)), one)
+    # most terms are in no narrow subset
+    narrow = F.array(F.filter(found, lambda t: t["mask"] >= 1 << WIDE))
+    return F.concat(of(found, 0, WIDE - 1), F.flatten(F.transform(narrow, lambda among: of(among, WIDE, SUBSETS - 1))))
 
 
 def fingerprint(parts: Column, digest: Column) -> Column:
@@ -119,13 +133,16 @@ def imatch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(coalesce(next_text, ''), 1, cast(floor(length(text) / 2) as int))"))
     rows = rows.select("range", "place", "extra", "id", size.cast("long").alias("n_chars"), "text", edited.alias("edited"))
     empty = F.array(F.lit(""))
-    both = F.array(F.struct(F.lit(0).alias("which"), F.concat(terms(F.col("text")), empty).alias("terms")), F.struct(F.lit(1).alias("which"), F.when(F.col("extra") == 0, terms(F.col("edited"))).otherwise(empty).alias("terms")))
-    kept = ["range", "place", "extra", "id", "n_chars", "digest", "edited_sha256"]
-    rows = rows.select("range", "place", "extra", "id", "n_chars", F.md5("text").alias("digest"), F.sha2("edited", 256).alias("edited_sha256"), F.md5("edited").alias("edited_digest"), F.explode(both).alias("part"))
-    rows = rows.select(*kept, "edited_digest", F.col("part.which").alias("which"), F.explode("part.terms").alias("term")).join(F.broadcast(words), "term")
+    # what a row keeps goes with its empty term, so that the other terms are slim
+    kept = F.struct("id", "n_chars", F.md5("text").alias("digest"), F.sha2("edited", 256).alias("edited_sha256"), F.md5("edited").alias("edited_digest"))
+    first = F.struct(F.lit(0).alias("which"), F.concat(terms(F.col("text")), empty).alias("terms"), kept.alias("kept"))
+    second = F.struct(F.lit(1).alias("which"), F.when(F.col("extra") == 0, terms(F.col("edited"))).otherwise(F.array().cast("array<string>")).alias("terms"), F.lit(None).alias("kept"))
+    rows = rows.select("range", "place", "extra", F.explode(F.array(first, second)).alias("part"))
+    rows = rows.select("range", "place", "extra", F.col("part.which").alias("which"), F.col("part.kept").alias("kept"), F.explode("part.terms").alias("term"))
+    rows = rows.withColumn("kept", F.when(F.col("term") == "", F.col("kept"))).join(F.broadcast(words), "term")
     found = F.array_sort(F.collect_list(F.when((F.col("which") == 0) & (F.col("mask") != 0), F.struct("term", "mask"))))
     found_edited = F.array_sort(F.collect_list(F.when((F.col("which") == 1) & (F.col("mask") != 0), F.struct("term", "mask"))))
-    prints = rows.groupBy(*kept, "edited_digest").agg(found.alias("found"), found_edited.alias("found_edited"))
+    prints = rows.groupBy("range", "place", "extra").agg(F.max("kept").alias("kept"), found.alias("found"), found_edited.alias("found_edited")).select("range", "place", "extra", "kept.*", "found", "found_edited")
     prints = prints.withColumn("fingerprint", fingerprint(hashes(F.col("found")), F.col("digest"))).withColumn("edited_fingerprint", fingerprint(hashes(F.col("found_edited")), F.col("edited_digest"))).drop("found", "found_edited")
     prints = prints.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("range").orderBy("place"))).where("extra = 0")
     return prints.select(
@@ -146,7 +163,7 @@ t AS (SELECT place, 0 AS which, unnest(list_distinct(list_filter(regexp_split_to
       UNION ALL
       SELECT place, 1, unnest(list_distinct(list_filter(regexp_split_to_array(lower(edited), '[\x20\x09-\x0D]+'), lambda x: x <> ''))) FROM e),
 b AS (SELECT term FROM t WHERE which = 0 GROUP BY term HAVING count(*) * {RARE} >= (SELECT count(*) FROM d) AND count(*) * {COMMON[1]} <= (SELECT count(*) FROM d) * {COMMON[0]}),
-m AS (SELECT term, k FROM b, range({SUBSETS}) AS r(k) WHERE substr(sha256(term), 2 * k::INT + 1, 2) IN {CHOSEN}),
+m AS (SELECT term, k FROM b, range({SUBSETS}) AS r(k) WHERE CASE WHEN k < {WIDE} THEN (instr('0123456789abcdef', substr(sha256(term), 1, 1)) - 1) // {16 // WIDE} <> k ELSE substr(sha256(term), 2 * k::INT + 1, 2) IN {CHOSEN} END),
 h AS (SELECT place, which, k, substr(md5(string_agg(term, ' ' ORDER BY term)), 1, 8) AS part FROM t JOIN m USING (term) GROUP BY place, which, k),
 a AS (SELECT e.place, w.which, r.k, h.part FROM e CROSS JOIN (VALUES (0), (1)) AS w(which) CROSS JOIN range({SUBSETS}) AS r(k) LEFT JOIN h ON h.place = e.place AND h.which = w.which AND h.k = r.k),
 f AS (SELECT place, which, count(part) AS parts, string_agg(coalesce(part, '-'), '.' ORDER BY k) AS joined FROM a GROUP BY place, which),

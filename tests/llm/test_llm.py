@@ -1,7 +1,9 @@
 """The operators against brute force, and on nulls, empty and long texts, ties, repeated rows and clashing columns."""
 
+import hashlib
 import itertools
 import math
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -758,6 +760,27 @@ def test_next_document_is_found_across_ranges(spark, monkeypatch):
     assert got[order[-1]] == order[0]
 
 
+def test_imatch_subsets_hear_every_term(spark, docs):
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    words = {i: {w for w in re.split(r"[\x20\x09-\x0D]+", t.lower()) if w} for i, t in texts.items()}
+    counts = Counter(w for s in words.values() for w in s)
+    band = {w for w, c in counts.items() if c * imatch.RARE >= len(texts) and c * imatch.COMMON[1] <= len(texts) * imatch.COMMON[0]}
+    masks = {r.term: r["mask"] for r in imatch.lexicon(docs, len(texts)).collect()}
+    assert masks.keys() == band
+    for w, mask in masks.items():
+        sha = hashlib.sha256(w.encode()).hexdigest()
+        wide = [k != int(sha[0], 16) // 4 for k in range(4)]
+        assert [bool(mask >> k & 1) for k in range(imatch.SUBSETS)] == wide + [sha[2 * k : 2 * k + 2] in imatch.CHOSEN for k in range(4, imatch.SUBSETS)]
+    prints = defaultdict(set)
+    for r in imatch.imatch(docs).collect():
+        mine = words[r.doc_id] & band
+        parts = [" ".join(sorted(w for w in mine if masks[w] >> k & 1)) for k in range(imatch.SUBSETS)]
+        want = ".".join(hashlib.md5(p.encode()).hexdigest()[:8] if p else "-" for p in parts)
+        assert r.fingerprint == (want if mine else "=" + hashlib.md5(texts[r.doc_id].encode()).hexdigest())
+        prints[r.fingerprint].add(frozenset(mine))
+    assert all(len(same) == 1 for same in prints.values())
+
+
 def test_imatch_cases(spark, docs, edge, none):
     for table in (docs, edge):
         rows = imatch.imatch(table).collect()
