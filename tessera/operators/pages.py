@@ -352,3 +352,9 @@ def words_pair_up(a: Column, b: Column, least: float = 80) -> Column:
 def vocatives(text: Column) -> Column:
     """Capitalised words that open a line or a quotation and stand before a comma."""
     return F.regexp_count(text, F.lit("(?:^|[\"“])[A-Z][a-z]+,"))
+
+
+def front_matter(fields: dict[str, Column]) -> Column:
+    """The block that opens a page: a line for each field."""
+    lines = [F.concat(F.lit(f"{name}: "), F.coalesce(value.cast("string"), F.lit("")), F.lit("\n")) for name, value in fields.items()]
+    return F.concat(F.lit("---\n"), *lines, F.lit("---\n"))

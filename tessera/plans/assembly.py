@@ -453,3 +453,19 @@ def _(spark, sf):
         append(c.where(F.col("role") == stage).select(F.col("role").alias("stage"), "text"), path)
     append(c.where(~F.col("role").isin("user", "assistant", "system", "tool")).select(F.col("role").alias("stage"), "text"), path)
     return spark.read.parquet(path).groupBy("stage").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.length("text")).alias("size"))
+
+
+@query("sink_site_tree", f"""WITH {RELATIONS}, t AS (SELECT unnest(range(vol, 8)) AS cutoff, * FROM rel), p AS (SELECT cutoff, subject, count(*) AS n, string_agg('- ' || predicate || ' ' || object || ' (' || vol || ') [' || claim_id || ']', chr(10) ORDER BY vol, claim_id) AS lines FROM t GROUP BY ALL)
+  SELECT cutoff::INT AS cutoff, lower(replace(subject, ' ', '-')) AS slug, md5('---' || chr(10) || 'title: ' || subject || chr(10) || 'cutoff: ' || cutoff || chr(10) || 'claims: ' || n || chr(10) || '---' || chr(10) || chr(10) || '# ' || subject || chr(10) || chr(10) || lines) AS digest FROM p""")
+def _(spark, sf):
+    from tessera.operators.lineage import scratch
+    from tessera.sources.store import read_tree, write_tree
+
+    rel = relation_claims(spark, sf).where("vol <= 7").withColumn("cutoff", F.explode(F.sequence("vol", F.lit(7))))
+    line = F.format_string("- %s %s (%d) [%s]", "predicate", "object", "vol", "claim_id")
+    lines = F.array_sort(F.collect_list(F.struct("vol", "claim_id", line.alias("line"))))
+    p = rel.groupBy("cutoff", "subject").agg(F.count(F.lit(1)).alias("n"), lines.alias("lines"))
+    page = F.concat(P.front_matter({"title": F.col("subject"), "cutoff": F.col("cutoff"), "claims": F.col("n")}), F.lit("\n# "), "subject", F.lit("\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    path = scratch(spark, "site")
+    write_tree(p.select("cutoff", F.lower(F.replace("subject", F.lit(" "), F.lit("-"))).alias("slug"), page.alias("page")), path)
+    return read_tree(spark, path).select("cutoff", "slug", F.md5("page").alias("digest"))

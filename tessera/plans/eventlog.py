@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tessera.operators import events as E
@@ -175,12 +173,12 @@ def _(spark, sf):
     # the whole input is one micro-batch, so nothing is late; complete mode gives every window
     stream = _stream(spark, sf)
     counts = twins.counts_by_window(stream.select("ts", "event_type", "value"))
-    return twins.run_to_end(counts, f"counts_{uuid.uuid4().hex}", "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+    return twins.run_to_end(counts, "complete").select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
 @query("stream_sessions", f"WITH {SESSIONS} SELECT user_id, count(DISTINCT session) AS sessions FROM s1 GROUP BY ALL")
 def _(spark, sf):
-    out = twins.run_to_end(twins.sessions(_stream(spark, sf), "6 hours 1 microsecond"), f"sessions_{uuid.uuid4().hex}", "complete")
+    out = twins.run_to_end(twins.sessions(_stream(spark, sf), "6 hours 1 microsecond"), "complete")
     return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("sessions"))
 
 
@@ -192,7 +190,33 @@ def _(spark, sf):
     path = scratch(spark, "claims")
     intervals.arbitrate(status_claims(spark, sf)).select("subject", "predicate", "vol", "value").write.parquet(path)
     stream = spark.readStream.schema("subject long, predicate string, vol int, value string").parquet(path)
-    return twins.run_to_end(twins.superseded(stream), f"superseded_{uuid.uuid4().hex}")
+    return twins.run_to_end(twins.superseded(stream))
+
+
+@query("stream_changed_states", f"""WITH {EVENTS}, u AS (SELECT user_id, vol, max(event_type) AS state FROM ev GROUP BY ALL)
+  SELECT user_id, vol, state FROM u QUALIFY state IS DISTINCT FROM lag(state) OVER (PARTITION BY user_id ORDER BY vol)""")
+def _(spark, sf):
+    from tessera.operators.lineage import scratch
+
+    states = log_events(spark, sf).groupBy("user_id", "vol").agg(F.max("event_type").alias("state"))
+    path = scratch(spark, "states")
+    states.write.parquet(path)
+    return twins.run_to_end(twins.changed_states(spark.readStream.schema(states.schema).parquet(path), ["user_id"], "state"))
+
+
+@query("stream_late_evidence", f"WITH {EVENTS} SELECT event_id, vol, CASE WHEN vol <= 2 AND event_id % 7 = 0 THEN value * 2 ELSE value END AS value FROM ev")
+def _(spark, sf):
+    from tessera.operators.lineage import scratch
+
+    # two steps over one cursor: the volumes, then late corrections of the first two
+    inbox, path, cursor = (scratch(spark, n) for n in ("inbox", "evidence", "cursor"))
+    rows = log_events(spark, sf).select("event_id", "value", F.lit(1).alias("version"), "vol")
+    late = rows.where("vol <= 2 AND event_id % 7 = 0").withColumns({"value": F.col("value") * 2, "version": F.lit(2)})
+    for step in (rows, late):
+        step.write.mode("append").parquet(inbox)
+        stream = spark.readStream.schema(rows.schema).parquet(inbox)
+        twins.upserts(stream, path, cursor, "vol", ["event_id"], "version").start().awaitTermination()
+    return spark.read.schema(rows.schema).parquet(path).select("event_id", "vol", "value")
 
 
 def _stream(spark, sf):

@@ -10,7 +10,7 @@ from tessera.operators import mentions as M
 from tessera.operators import sequences as S
 from tessera.plans.core import flat
 from tessera.plans.registry import query
-from tessera.sources import html
+from tessera.sources import epub, html
 from tessera.sources.tables import PASSAGES, passages, table
 
 SPLIT = r"list_filter(regexp_split_to_array(coalesce({0}, ''), '[ \t\x0b\f\r\n]+'), lambda x: x <> '')"
@@ -75,6 +75,18 @@ def _(spark, sf):
     return html.paragraphs(table(spark, sf, "pages")).where("tag = 'h1'").select("page_id", F.col("text").alias("heading"))
 
 
+@query("ingest_epub_chapters", r"""WITH h AS (SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '&nbsp;', ' '), '\s+', ' ', 'g')) AS title FROM pages)
+  SELECT 'v' || page_id // 25 || '.epub' AS path, row_number() OVER (PARTITION BY page_id // 25 ORDER BY page_id) AS chapter, title FROM h WHERE title <> ''""")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    # books of 25 pages; after each page comes one of its own paragraphs without a heading, then an art plate
+    pages = table(spark, sf, "pages").select(F.expr("'v' || page_id div 25").alias("book"), F.posexplode(F.array("html", F.lit("<p>It goes on, and on, for more than ten words, as prose does.</p><img src='a'/>"), F.lit("<img src='b'/><p>A plate.</p>"))).alias("part", "html"), "page_id")
+    parts = epub.chapters(epub.containers(pages.withColumn("place", F.col("page_id") * 3 + F.col("part")), "book", "place", "html"))
+    found = parts.where("chapter_title IS NOT NULL").select("path", "chapter_idx", F.col("chapter_title").alias("title")).distinct()
+    return found.select("path", F.row_number().over(Window.partitionBy("path").orderBy("chapter_idx")).alias("chapter"), "title")
+
+
 @query("ingest_chapter_kind", """SELECT doc_id, CASE WHEN upper(trim(t)) LIKE 'THE %' THEN 'article' WHEN regexp_matches(t, '^[A-Z ]+$') THEN 'shout' WHEN length(t) < 40 THEN 'short' ELSE 'chapter' END AS kind FROM (SELECT doc_id, split_part(text, chr(10), 1) AS t FROM documents)""")
 def _(spark, sf):
     t = F.split_part("text", F.lit("\n"), F.lit(1))

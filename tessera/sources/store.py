@@ -42,3 +42,14 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
 def append(rows: DataFrame, path: str) -> None:
     """Rows added to a log; what is there stays."""
     rows.write.mode("append").parquet(path)
+
+
+def write_tree(pages: DataFrame, path: str) -> None:
+    """A folder of pages for each cutoff: pages(cutoff, slug, page), one file a page."""
+    pages.repartition("cutoff", "slug").select("page", "cutoff", "slug").write.mode("overwrite").partitionBy("cutoff", "slug").text(path)
+
+
+def read_tree(spark: SparkSession, path: str) -> DataFrame:
+    """(cutoff, slug, page) of a tree of pages; a filter on cutoff prunes folders."""
+    files = spark.read.schema("page string, cutoff int, slug string").text(path, wholetext=True)
+    return files.select("cutoff", "slug", F.regexp_replace("page", r"\n\z", "").alias("page"))

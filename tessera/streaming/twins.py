@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.lineage import scratch
+from tessera.sources.store import upsert
+
 
 def counts_by_window(events: DataFrame, width: str = "6 days", late: str = "1 day") -> DataFrame:
     """Events by type in tumbling windows; those later than the watermark are dropped by it."""
@@ -68,17 +71,37 @@ def superseded(claims: DataFrame) -> DataFrame:
     return claims.select("subject", "predicate", "vol", "value").groupBy("subject", "predicate").applyInPandasWithState(step, schema, "value string, start int", "append", GroupStateTimeout.NoTimeout)
 
 
-def increments(rows: DataFrame, path: str, checkpoint: str, partition_by: list[str]):
-    """A writer that replaces the partitions that each micro-batch touches; the checkpoint is the cursor."""
+def upserts(rows: DataFrame, path: str, checkpoint: str, partition_by: str, keys: list[str], version: str):
+    """A writer that brings each micro-batch into the table at path; the checkpoint is the cursor.
+
+    Only the partitions that a batch touches are read and written again, so late
+    rows of an earlier volume rebuild that volume alone.  Of the rows of a key that
+    with the highest version stays, so a batch that is run again changes nothing.
+    """
+    schema = rows.schema
 
     def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
+        spark = batch.sparkSession
+        batch = batch.persist()
+        empty = spark.createDataFrame([], schema)
+        empty.write.mode("append").partitionBy(partition_by).parquet(path)  # so that the folder exists
+        touched = [r[0] for r in batch.select(partition_by).distinct().collect()]  # partitions, not rows
+        held = spark.read.schema(schema).parquet(path).where(F.col(partition_by).isin(touched))
+        fresh = upsert(held.select(*schema.names).unionByName(batch), keys, version)
+        fresh.repartition(partition_by, *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+        batch.unpersist()
 
     return rows.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
-def run_to_end(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drive a bounded stream to its end into a table in memory: for tests and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Drive a bounded stream to its end into a table in the shared folder: a batch a part, or in complete mode the last one."""
+    spark = stream.sparkSession
+    path = scratch(spark, "stream")
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/none")
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{'all' if mode == 'complete' else n}")
+
+    stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", scratch(spark, "cursor")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(path)

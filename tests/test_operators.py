@@ -154,8 +154,6 @@ def test_store(spark, tmp_path):
 
 
 def test_streaming_supersession_equals_batch(spark, tmp_path):
-    import uuid
-
     from tessera.streaming import twins
 
     rows = [(s, "P", t, "AB"[(s * t) % 2]) for s in range(4) for t in range(1, 6)]
@@ -163,11 +161,47 @@ def test_streaming_supersession_equals_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, "subject long, predicate string, vol int, value string")
     df.write.parquet(path)
     stream = spark.readStream.schema(df.schema).parquet(path)
-    got = {tuple(r) for r in twins.run_to_end(twins.superseded(stream), f"s_{uuid.uuid4().hex}").collect()}
+    got = {tuple(r) for r in twins.run_to_end(twins.superseded(stream)).collect()}
     batch = intervals.single_valued_intervals(df.withColumn("claim_id", F.col("vol")).withColumn("confidence", F.lit(0.5))).where("vol_end is not null")
     assert got == {tuple(r) for r in batch.select("subject", "predicate", "value", "vol_start", "vol_end").collect()}
 
 
+def test_late_rows_rebuild_their_partition_only(spark, tmp_path):
+    import os
+
+    from tessera.streaming import twins
+
+    schema = "id int, x string, version int, vol int"
+    inbox, path, cursor = (str(tmp_path / n) for n in ("inbox", "table", "cursor"))
+
+    def step(rows):
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(inbox)
+        twins.upserts(spark.readStream.schema(schema).parquet(inbox), path, cursor, "vol", ["id"], "version").start().awaitTermination()
+        return sorted((r.id, r.x, r.vol) for r in spark.read.schema(schema).parquet(path).collect())
+
+    assert step([(1, "a", 1, 1), (2, "b", 1, 2), (3, None, 1, 2)]) == [(1, "a", 1), (2, "b", 2), (3, None, 2)]
+    before = {f: os.path.getmtime(f"{path}/vol=1/{f}") for f in os.listdir(f"{path}/vol=1")}
+    assert step([(3, "c", 2, 2), (4, "d", 1, 2)]) == [(1, "a", 1), (2, "b", 2), (3, "c", 2), (4, "d", 2)]
+    assert {f: os.path.getmtime(f"{path}/vol=1/{f}") for f in os.listdir(f"{path}/vol=1")} == before
+    assert step([(3, "old", 1, 2)]) == [(1, "a", 1), (2, "b", 2), (3, "c", 2), (4, "d", 2)]
+
+
+def test_epub_chapters(spark, tmp_path):
+    from tessera.sources import epub
+
+    plate, prose = "<img src='a'/><p>A plate.</p>", "<p>Eleven words of prose, or a few more, so no plate.</p>"
+    parts = ["<p>Before all.</p>", "<h1>One</h1><p>a</p>", "<p>b</p>", plate, plate + prose, "<h2>Two</h2>" + plate, "", "<h1>Three &amp; last</h1>"]
+    book = epub.container("A & B", parts)
+    (tmp_path / "a.epub").write_bytes(book)
+    (tmp_path / "a.txt").write_text("no book")
+    got = [(r.title, r.chapter_idx, r.chapter_title, r.seq, r.text) for r in epub.chapters(epub.read_epubs(spark, str(tmp_path))).orderBy("chapter_idx", "seq").collect()]
+    texts = [(0, None, 0, "Before all."), (1, "One", 0, "a"), (1, "One", 1, "b"), (1, "One", 2, "A plate."), (1, "One", 3, "Eleven words of prose, or a few more, so no plate."), (2, "Two", 0, "A plate."), (3, "Three & last", 0, None)]
+    assert got == [("A & B", *t) for t in texts]
+    assert epub.chapters(spark.createDataFrame([("x", None)], "path string, content binary")).count() == 0
+    with pytest.raises(Exception, match="no readable EPUB"):
+        epub.chapters(spark.createDataFrame([("x", bytearray(b"zip"))], "path string, content binary")).collect()
+
+
 def test_mentions_do_not_depend_on_the_number_of_forms(spark, monkeypatch):
     forms = [("Lord High Keeper of the Seal", 1), ("Lord", 2), ("Keeper of", 3), ("St. Ann's, East", 4), ("East", 5), ("Seal", 6), ("Seal", 9), ("Ann", 7)]
     texts = ["The Lord High Keeper of the Seal met Lord East.", "At St. Ann's, East Seal; Keeper of Lords. Ann", "", None, "Seal", "East-Seal (Lord)"]
