@@ -109,11 +109,11 @@ def _(spark, sf):
     return table(spark, sf, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(t == F.lower(t)).alias("same"), F.sum(F.length(t)).alias("chars"), F.count_if(F.contains(t, F.lit("!!"))).alias("residual"))
 
 
-@query("dialogue_within", "SELECT conv_id, turn, contains(text, '\"') AND strpos(text, '\"') < 200 AS quoted, CASE WHEN starts_with(text, '\"') AND ends_with(text, '\"') AND length(text) > 1 THEN substr(text, 2, length(text) - 2) ELSE text END AS inner_text FROM conversations WHERE turn <= 2")
+@query("dialogue_within", "SELECT conv_id, turn, contains(text, '\"') AND strpos(text, '\"') < 200 AS quoted, CASE WHEN starts_with(text, '\"') AND ends_with(text, '\"') AND length(text) > 1 THEN substr(text, 2, length(text) - 2) ELSE text END AS inner_text FROM conversations")
 def _(spark, sf):
     t = F.col("text")
     wrapped = t.startswith('"') & t.endswith('"') & (F.length(t) > 1)
-    return table(spark, sf, "conversations").where("turn <= 2").select("conv_id", "turn", (F.contains(t, F.lit('"')) & (F.instr(t, '"') < 200)).alias("quoted"), F.when(wrapped, F.expr("substring(text, 2, length(text) - 2)")).otherwise(t).alias("inner_text"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", (F.contains(t, F.lit('"')) & (F.instr(t, '"') < 200)).alias("quoted"), F.when(wrapped, F.expr("substring(text, 2, length(text) - 2)")).otherwise(t).alias("inner_text"))
 
 
 @query("roster_gold", f"WITH {EVENTS}, g AS (SELECT user_id, user_id % 20 AS gold FROM ev WHERE user_id % 3 <> 1 GROUP BY ALL), p AS (SELECT user_id, max(k) % 20 AS found FROM ev WHERE user_id % 4 <> 2 GROUP BY ALL) SELECT user_id, CASE WHEN found IS NULL THEN 'ABSENT' WHEN found = gold THEN 'PASS' ELSE 'FAIL' END AS verdict FROM g LEFT JOIN p USING (user_id)")
@@ -130,19 +130,19 @@ def _(spark, sf):
     return r.select("l_orderkey", "l_linenumber", (F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")) - 1).alias("siblings"))
 
 
-@query("gold_pages", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'mapped-' || p_partkey ELSE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') END AS page FROM part WHERE p_size > 10")
+@query("gold_pages", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'mapped-' || p_partkey ELSE trim(regexp_replace(lower(p_name), '[^a-z0-9]+', '-', 'g'), '-') END AS page FROM part")
 def _(spark, sf):
     from tessera.functions.text import slug
 
-    p = table(spark, sf, "part").where("p_size > 10")
+    p = table(spark, sf, "part")
     mapped = p.where("p_partkey % 2 = 0").select("p_partkey", F.concat(F.lit("mapped-"), F.col("p_partkey").cast("string")).alias("m"))
     return p.select("p_partkey", "p_name").join(mapped, "p_partkey", "left").select("p_partkey", F.coalesce("m", slug(F.col("p_name"))).alias("page"))
 
 
-@query("screen_audit", "SELECT l.doc_id % 10 AS t, count(*) AS n, count(*) FILTER (toxic = 1) AS flagged, count(*) FILTER (toxic = 1 AND quality = 0) AS confirmed, count(*) FILTER (md5(left(text, 5)) < '4') AS stale FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL")
+@query("screen_audit", "SELECT l.doc_id % 10 AS t, count(*) AS n, count(*) FILTER (toxic = 1) AS flagged, count(*) FILTER (toxic = 1 AND quality = 0) AS confirmed, count(*) FILTER (md5(text) < '4') AS stale FROM labels l JOIN documents d USING (doc_id) GROUP BY ALL")
 def _(spark, sf):
-    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", F.left("text", F.lit(5)).alias("head")), "doc_id")
-    return rows.groupBy((F.col("doc_id") % 10).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("flagged"), F.count_if((F.col("toxic") == 1) & (F.col("quality") == 0)).alias("confirmed"), F.count_if(F.md5("head") < "4").alias("stale"))
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return rows.groupBy((F.col("doc_id") % 10).alias("t")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("toxic") == 1).alias("flagged"), F.count_if((F.col("toxic") == 1) & (F.col("quality") == 0)).alias("confirmed"), F.count_if(F.md5("text") < "4").alias("stale"))
 
 
 @query("challenge_types", "SELECT p_partkey, (row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) % 4 AS kind FROM part")

@@ -40,10 +40,10 @@ def _(spark, sf):
     return passages(spark, sf).where("vol <= 2").select("para_id", "n_words")
 
 
-@query("ingest_lookup_by_id", f"WITH {PASSAGES} SELECT para_id, md5(text) AS digest FROM para WHERE chapter_idx IN (SELECT doc_id FROM labels WHERE toxic = 1) AND seq = 0")
+@query("ingest_lookup_by_id", f"WITH {PASSAGES} SELECT para_id, md5(text) AS digest FROM para WHERE chapter_idx IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def _(spark, sf):
     ids = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("chapter_idx")).distinct()
-    return passages(spark, sf).where("seq = 0").join(ids, "chapter_idx", "left_semi").select("para_id", F.md5("text").alias("digest"))
+    return passages(spark, sf).join(ids, "chapter_idx", "left_semi").select("para_id", F.md5("text").alias("digest"))
 
 
 @query("ingest_chapter_documents", f"WITH {PASSAGES} SELECT vol, chapter_idx, md5(string_agg('[' || para_id || '] ' || text, chr(10) ORDER BY seq)) AS digest, count(*) AS n FROM para GROUP BY ALL")
@@ -70,12 +70,12 @@ def _(spark, sf):
     return html.paragraphs(table(spark, sf, "pages"))
 
 
-@query("ingest_html_headings", r"SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '&nbsp;', ' '), '\s+', ' ', 'g')) AS heading FROM pages WHERE regexp_extract(html, '<h1>(.*?)</h1>', 1) <> ''")
+@query("ingest_html_headings", r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS heading FROM pages WHERE regexp_extract(html, '<h1>(.*?)</h1>', 1) <> ''""")
 def _(spark, sf):
     return html.paragraphs(table(spark, sf, "pages")).where("tag = 'h1'").select("page_id", F.col("text").alias("heading"))
 
 
-@query("ingest_epub_chapters", r"""WITH h AS (SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '&nbsp;', ' '), '\s+', ' ', 'g')) AS title FROM pages)
+@query("ingest_epub_chapters", r"""WITH h AS (SELECT page_id, trim(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title FROM pages)
   SELECT 'v' || page_id // 25 || '.epub' AS path, row_number() OVER (PARTITION BY page_id // 25 ORDER BY page_id) AS chapter, title FROM h WHERE title <> ''""")
 def _(spark, sf):
     from pyspark.sql import Window
@@ -129,9 +129,9 @@ def _(spark, sf):
     return docs(spark, sf).select("doc_id", T.word_count(F.col("text")).alias("n"))
 
 
-@query("text_slug", "WITH t AS (SELECT doc_id, left(text, 60) AS t FROM documents), s AS (SELECT doc_id, trim(regexp_replace(translate(replace(replace(replace(lower(t), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'àáâäãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM t) SELECT doc_id, CASE WHEN slug = '' THEN 'entity' ELSE slug END AS slug FROM s")
+@query("text_slug", "WITH t AS (SELECT doc_id, text AS t FROM documents), s AS (SELECT doc_id, trim(regexp_replace(translate(replace(replace(replace(lower(t), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), 'àáâäãåçèéêëìíîïñòóôöõùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM t) SELECT doc_id, CASE WHEN slug = '' THEN 'entity' ELSE slug END AS slug FROM s")
 def _(spark, sf):
-    return docs(spark, sf).select("doc_id", T.slug(F.left("text", F.lit(60))).alias("slug"))
+    return docs(spark, sf).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("text_token_estimates", "SELECT doc_id, greatest(1, length(text) // 4)::INT AS low, ceil(length(text) / 4)::INT AS high FROM documents")

@@ -55,11 +55,11 @@ def _(spark, sf):
     return resolution.name_collisions(table(spark, sf, "part").select(F.col("p_type").alias("canonical"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("type")))
 
 
-@query("resolve_blocking", r"""WITH t AS (SELECT c_custkey AS id, c_mktsegment AS type, unnest(list_distinct(list_filter(regexp_split_to_array(lower(c_mktsegment || ' ' || (c_custkey % 400)), '[^\p{L}\p{N}]+'), lambda x: x <> ''))) AS w FROM customer WHERE c_acctbal > 9000)
+@query("resolve_blocking", r"""WITH t AS (SELECT c_custkey AS id, c_mktsegment AS type, unnest(list_distinct(list_filter(regexp_split_to_array(lower('n' || c_nationkey || ' ' || (c_custkey % 400)), '[^\p{L}\p{N}]+'), lambda x: x <> '') || ['p:' || left('n' || c_nationkey || ' ' || (c_custkey % 400), 3)])) AS w FROM customer)
 SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.type = b.type AND a.w = b.w AND a.id < b.id GROUP BY ALL""")
 def _(spark, sf):
-    c = table(spark, sf, "customer").where("c_acctbal > 9000")
-    n = c.select(F.col("c_custkey").alias("id"), F.concat(F.col("c_mktsegment"), F.lit(" "), (F.col("c_custkey") % 400).cast("string")).alias("name"), F.col("c_mktsegment").alias("type"))
+    c = table(spark, sf, "customer")
+    n = c.select(F.col("c_custkey").alias("id"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"), F.lit(" "), (F.col("c_custkey") % 400).cast("string")).alias("name"), F.col("c_mktsegment").alias("type"))
     return resolution.candidate_pairs(n).select("a", "b")
 
 

@@ -39,8 +39,7 @@ def priority_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trade between nations by year: a pair opposes or trades, and may be said to do both."""
-    line = table(spark, sf_dir, "lineitem").where((F.col("l_linenumber") == 1) & (F.col("l_discount") >= 0.09))
-    line = line.select("l_orderkey", "l_suppkey", "l_discount", "l_returnflag", "l_shipdate")
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_discount", "l_returnflag", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     customer = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("cn"))
     supplier = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("l_suppkey"), F.col("s_nationkey").alias("sn"))
@@ -48,8 +47,9 @@ def relation_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = line.join(orders, "l_orderkey").join(customer, "c_custkey").join(supplier, "l_suppkey")
     joined = joined.join(nation.select(F.col("n_nationkey").alias("sn"), F.col("n_name").alias("subject")), "sn").join(nation.select(F.col("n_nationkey").alias("cn"), F.col("n_name").alias("object")), "cn")
     keys = ["subject", "object", "predicate", "vol"]
-    rows = joined.select("subject", "object", F.when(F.col("l_returnflag") == "R", "OPPOSES").otherwise("TRADES_WITH").alias("predicate"), (F.year("l_shipdate") - 1994).alias("vol"), "l_discount")
-    claims = rows.groupBy(*keys).agg(F.round(F.avg("l_discount"), 6).alias("confidence"), F.count(F.lit(1)).alias("n_evidence"))
+    rows = joined.select("subject", "object", F.when(F.col("l_returnflag") == "R", "OPPOSES").otherwise("TRADES_WITH").alias("predicate"), (F.year("l_shipdate") - 1994).alias("vol"), F.round(F.col("l_discount") * 100).cast("long").alias("percent"))
+    # in whole millionths, so that the mean doesn't depend on the order of its terms
+    claims = rows.groupBy(*keys).agg(F.expr("((sum(percent) * 10000) div count(1)) / 1e6D").alias("confidence"), F.count(F.lit(1)).alias("n_evidence"))
     return claims.withColumn("claim_id", F.concat(F.lit("r_"), F.substring(F.sha1(F.concat_ws("|", "subject", "object", "predicate", "vol")), 1, 10)))
 
 
@@ -77,10 +77,9 @@ PRIORITIES = """prio AS (SELECT o_custkey AS subject, 'PRIORITY' AS predicate, o
   o_orderkey AS claim_id, CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'Q' || quarter(o_orderdate) END AS qualifier, round(o_totalprice / 1e6, 6) AS confidence FROM orders)"""
 RELATIONS = """rel AS (SELECT *, 'r_' || substr(sha1(subject || '|' || object || '|' || predicate || '|' || vol), 1, 10) AS claim_id FROM (
   SELECT a.n_name AS subject, b.n_name AS object, CASE WHEN l_returnflag = 'R' THEN 'OPPOSES' ELSE 'TRADES_WITH' END AS predicate,
-    (year(l_shipdate) - 1994)::INT AS vol, round(avg(l_discount), 6) AS confidence, count(*) AS n_evidence
+    (year(l_shipdate) - 1994)::INT AS vol, (sum(round(l_discount * 100)::BIGINT)::BIGINT * 10000 // count(*)) / 1e6 AS confidence, count(*) AS n_evidence
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey
-  WHERE l_linenumber = 1 AND l_discount >= 0.09 GROUP BY ALL))"""
+  JOIN nation a ON a.n_nationkey = s_nationkey JOIN nation b ON b.n_nationkey = c_nationkey GROUP BY ALL))"""
 EVENTS = """ev AS (SELECT event_id, ts, user_id, event_type, value, (date_diff('day', DATE '2024-01-01', ts::DATE) // 6 + 1)::INT AS vol,
   (props->>'$.k')::INT AS k FROM events)"""
 PASSAGES = r"""para AS (SELECT * FROM (SELECT printf('v%02d:c%06d:p%04d', doc_id % 5 + 1, doc_id, seq) AS para_id, (doc_id % 5 + 1)::INT AS vol, doc_id AS chapter_idx, seq::INT AS seq,
