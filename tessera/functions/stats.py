@@ -67,3 +67,14 @@ def sample_per_stratum(rows: DataFrame, strata: list[str], key: str, n: int, see
     """A sample without replacement of n rows a stratum, by a hash of the key: reruns agree."""
     order = Window.partitionBy(*strata).orderBy(F.xxhash64(F.lit(seed), key), key)
     return rows.withColumn("rn_", F.row_number().over(order)).where(F.col("rn_") <= n).drop("rn_")
+
+
+def pass_rates(scores: DataFrame, unit: list[str], by: list[str], columns: list[str], least: float = 0.5) -> DataFrame:
+    """Of each by, the share of units whose every score is least or more, for each column and for all; a null score is none."""
+    worst = scores.groupBy(*by, *unit).agg(*[F.min(c).alias(c) for c in columns])
+    ok = {c: F.coalesce(F.col(c) >= least, F.lit(False)) for c in columns}
+    every = F.lit(True)
+    for c in columns:
+        every = every & ok[c]
+    rates = [F.round(F.avg(v.cast("int")), 4).alias(c) for c, v in ok.items()]
+    return worst.groupBy(*by).agg(*rates, F.round(F.avg(every.cast("int")), 4).alias("both"), F.count(F.lit(1)).alias("n"))

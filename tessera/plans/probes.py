@@ -92,3 +92,35 @@ def _(spark, sf):
     found = lines.select("doc_id", "at", F.explode(F.array_distinct(F.split(F.lower("line"), " "))).alias("w"))
     hits = found.join(F.broadcast(asked), "w").groupBy("item_id", "doc_id", "at").agg(F.count(F.lit(1)).alias("shared"), F.max("of").alias("of"))
     return hits.where("shared * 2 >= of").select("item_id", "doc_id").distinct()
+
+
+@query("probe_page_leaks", r"""WITH w AS (SELECT conv_id, turn, list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}')) AS w FROM conversations),
+  p AS (SELECT a.conv_id, a.turn AS cutoff, list_distinct(flatten(list(b.w))) AS have FROM w a JOIN w b ON a.conv_id = b.conv_id AND b.turn <= a.turn GROUP BY ALL)
+SELECT w.conv_id AS page, cutoff, turn AS fact_id, len(w) > 0 AND len(list_filter(w, lambda x: NOT list_contains(have, x))) = 0 AS supported, len(list_filter(w, lambda x: list_contains(have, x))) > 0 AS lexical FROM w JOIN p ON w.conv_id = p.conv_id AND turn > cutoff""")
+def _(spark, sf):
+    from pyspark.sql import Window
+
+    # the page of a conversation at a cutoff holds its turns so far; a fact is the words of a turn
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{4,}"), F.lit(0)))
+    t = table(spark, sf, "conversations").select(F.col("conv_id").alias("page"), F.col("turn").alias("vol"), words.alias("words"))
+    so_far = F.collect_list("words").over(Window.partitionBy("page").orderBy("vol").rangeBetween(Window.unboundedPreceding, 0))
+    pages = t.select("page", F.col("vol").alias("cutoff"), F.array_distinct(F.flatten(so_far)).alias("words")).distinct()
+    return probing.page_leaks(t.withColumn("fact_id", F.col("vol")), pages)
+
+
+@query("probe_map_faults", r"""WITH o AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS o FROM benchmark), m AS (SELECT o AS original, left(o, 5) AS replacement FROM o),
+  t AS (SELECT replacement AS name, count(*) AS n FROM m GROUP BY 1), w AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS name FROM conversations)
+SELECT 'collision' AS fault, name, n FROM t WHERE name IN (SELECT original FROM m) UNION ALL SELECT 'duplicate', name, n FROM t WHERE n > 1 UNION ALL SELECT 'leftover', name, count(*) FROM w WHERE name IN (SELECT original FROM m) GROUP BY name""")
+def _(spark, sf):
+    found = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))
+    names = table(spark, sf, "benchmark").select(F.explode(found).alias("original")).distinct()
+    return probing.map_faults(names.withColumn("replacement", F.left("original", F.lit(5))), table(spark, sf, "conversations").select(found.alias("words")))
+
+
+@query("metric_pass_rates", """WITH u AS (SELECT role, conv_id, min(length(text) % 97 / 97) AS there, min(length(text) % 89 / 89) AS back FROM conversations GROUP BY ALL)
+SELECT role, round(avg((coalesce(there >= 0.1, false))::INT), 4) AS there, round(avg((coalesce(back >= 0.1, false))::INT), 4) AS back, round(avg((coalesce(there >= 0.1 AND back >= 0.1, false))::INT), 4) AS both, count(*) AS n FROM u GROUP BY role""")
+def _(spark, sf):
+    from tessera.functions.stats import pass_rates
+
+    c = table(spark, sf, "conversations").select("role", "conv_id", (F.length("text") % 97 / 97).alias("there"), (F.length("text") % 89 / 89).alias("back"))
+    return pass_rates(c, ["conv_id"], ["role"], ["there", "back"], 0.1)

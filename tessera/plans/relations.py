@@ -193,11 +193,12 @@ def _(spark, sf):
     return relations.pagerank(e, seeds, rounds=10).where("node <> 'NATION_3'").select("node", F.round("score", 9).alias("score")).orderBy(F.desc("score"), "node").limit(5)
 
 
-@query("rel_mentions_unshown", f"""WITH {REL_INTERVALS}, shown AS (SELECT object AS n FROM riv WHERE {NOW} AND subject = 'NATION_3' UNION SELECT subject FROM riv WHERE {NOW} AND object = 'NATION_3')
+@query("rel_mentions_unshown", f"""WITH {REL_INTERVALS}, shown AS (SELECT object AS n FROM riv WHERE {NOW} AND predicate = 'OPPOSES' AND subject = 'NATION_3' UNION SELECT subject FROM riv WHERE {NOW} AND predicate = 'OPPOSES' AND object = 'NATION_3')
 SELECT n_name FROM nation WHERE n_name NOT IN (SELECT n FROM shown) AND n_name <> 'NATION_3'""")
 def _(spark, sf):
+    # a page of opponents
     now = asof.relations_at(edges(spark, sf), "NATION_3", 4)
-    shown = now.select(F.explode(F.array("subject", "object")).alias("n_name"))
+    shown = now.where("predicate = 'OPPOSES'").select(F.explode(F.array("subject", "object")).alias("n_name"))
     return spark.read.parquet(f"{sf}/nation.parquet").where("n_name <> 'NATION_3'").select("n_name").join(shown, "n_name", "left_anti")
 
 
