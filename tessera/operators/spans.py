@@ -27,15 +27,33 @@ def fold_contained(rows: DataFrame, keys: list[str], item: str, members: str) ->
     Returns (keys, item, folded): folded counts the rows that item, the largest
     host of each, has taken in.
     """
-    r = rows.select(*keys, item, F.array_distinct(members).alias("m"))
-    other = r.select(*keys, F.col(item).alias("host"), F.col("m").alias("hm"))
-    inside = r.join(other, keys).where((F.size(F.array_except("m", "hm")) == 0) & (F.size("hm") > F.size("m")))
-    host = inside.groupBy(*keys, item).agg(F.max_by("host", F.struct(F.size("hm"), "host")).alias("host"))
+    r = rows.select(*keys, item, F.array_sort(F.array_distinct(members)).alias("m"))
+    # rows of the same members share their host, so sets are compared, each once: one lies in another if that has its rarest member
+    sets = r.groupBy(*keys, "m").agg(F.max(item).alias("best"))
+    held = sets.select(*keys, "m", "best", F.explode("m").alias("w"))
+    counts = held.groupBy(*keys, "w").agg(F.count(F.lit(1)).alias("n"))
+    asked = held.join(counts.withColumnsRenamed({"w": "w_", **{k: f"{k}_" for k in keys}}), _same([*keys, "w"])).groupBy(*keys, "m").agg(F.min(F.struct("n", "w"))["w"].alias("w"))
+    other = held.select(*[F.col(k).alias(f"{k}_") for k in keys], F.col("w").alias("w_"), F.col("m").alias("hm"), F.struct(F.size("m").alias("size"), F.col("best").alias("host")).alias("h"))
+    inside = asked.join(other, _same([*keys, "w"])).where((F.size("hm") > F.size("m")) & (F.size(F.array_except("m", "hm")) == 0)).select(*keys, "m", "h")
+    # the empty set lies in every other
+    empty = sets.where(F.size("m") == 0).select(*keys, "m")
+    largest = sets.where(F.size("m") > 0).groupBy(*keys).agg(F.max(F.struct(F.size("m").alias("size"), F.col("best").alias("host"))).alias("h"))
+    hosts = inside.unionByName(empty.join(largest, keys)).groupBy(*keys, "m").agg(F.max("h").alias("h"))
+    host = r.join(hosts, [*keys, "m"]).groupBy(*keys, item).agg(F.max("h")["host"].alias("host"))
     kept = r.select(*keys, item).join(host.select(*keys, item), [*keys, item], "left_anti")
     taken = host.groupBy(*keys, F.col("host").alias(item)).agg(F.count(F.lit(1)).alias("folded"))
     return kept.join(taken, [*keys, item], "left").select(*keys, item, F.coalesce("folded", F.lit(0)).alias("folded"))
 
 
+def _same(columns: list[str]) -> Column:
+    """Each column equals the one with a line after its name; a null member equals a null, a null key nothing."""
+    *keys, member = columns
+    both = F.col(member).eqNullSafe(F.col(f"{member}_"))
+    for k in keys:
+        both = both & (F.col(k) == F.col(f"{k}_"))
+    return both
+
+
 def dominant(counts: DataFrame, key: str, owner: str, n: str, share: float = 0.6) -> DataFrame:
     """counts(key, vol, owner, n) -> (key, vol, owner): the owner with that share of a period, else the last one decided."""
     by = Window.partitionBy(key, "vol")

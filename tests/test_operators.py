@@ -220,3 +220,22 @@ def test_long_conflict_chains_are_one_clique(spark):
     got = {(r.k, r.predicate): r.clique for r in relations.cliques(present, relations.conflict_groups(p), ["k"]).collect()}
     assert {got[1, n] for n in names} == {"P1"} and got[1, "Q"] == "Q"
     assert {got[2, n] for n in ("P7", "P2", "P9", "P4")} == {"P2"} and {got[2, n] for n in ("P8", "P3", "P6", "P5")} == {"P3"}
+
+
+def test_fold_of_many_equal_rows_compares_sets(spark):
+    from tessera.operators import spans
+
+    forms = [["a"], ["a", "b"], ["c"], ["a", "b", "b", "c"], [], None, ["d", None], ["d", None, "e"], [None]]
+    rows = [(k, 100 * i + k, m) for k in (1, 2) for i, m in enumerate(forms * 4) if k == 1 or m != ["a", "b", "b", "c"]]
+    sets = {(k, i): None if m is None else set(m) for k, i, m in rows}
+    host = {}
+    for (k, i), m in sets.items():
+        over = [(len(n), j) for (q, j), n in sets.items() if q == k and m is not None and n is not None and m < n]
+        if over:
+            host[k, i] = (k, max(over)[1])
+    want = {p: list(host.values()).count(p) for p in sets if p not in host}
+    got = spans.fold_contained(spark.createDataFrame(rows, "k int, item long, m array<string>"), ["k"], "item", "m")
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.k, r.item): r.folded for r in got.collect()} == want
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "array_except" in line.lower()]
+    assert joins and all("w#" in line for line in joins)  # rows of a key no longer meet all the others
