@@ -111,9 +111,10 @@ def drop_contradicted(edges: DataFrame, states: DataFrame, implied: dict[str, st
     """Edges whose predicate implies a state of its object that the object's state at its start contradicts."""
     value = F.create_map(*[F.lit(x) for k, v in implied.items() for x in (k, v)])
     s = states.select(F.col("subject").alias("object"), F.col("value").alias("state"), F.col("vol_start").alias("from_"), F.col("vol_end").alias("to_"))
+    keys = ["interval_id", "subject", "object", "predicate", "vol_start"]  # the id alone is 32 bits of a hash
     e = edges.withColumn("implies", F.try_element_at(value, F.col("predicate")))
-    hit = e.where("implies is not null").join(s, "object").where("from_ <= vol_start and (to_ is null or to_ >= vol_start) and state <> implies").select("interval_id").distinct()
-    return edges.join(hit, "interval_id", "left_anti")
+    hit = e.where("implies is not null").join(s, "object").where("from_ <= vol_start and (to_ is null or to_ >= vol_start) and state <> implies").select(*keys).distinct()
+    return edges.join(hit, keys, "left_anti")
 
 
 def subsume(values: DataFrame, keys: list[str]) -> DataFrame:
