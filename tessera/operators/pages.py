@@ -114,9 +114,14 @@ def headed_text(rows: DataFrame, key: str, chapter: str, seq: str) -> DataFrame:
 
 
 def fact_set(intervals: DataFrame, cutoff: int, quotes: int) -> DataFrame:
-    """The current intervals, each once, with its first quotes."""
+    """The current intervals, each once, with its first quotes.
+
+    Two intervals are one if they agree in id, subject, predicate, value and start:
+    the id is 32 bits of a hash, which different ones may have in common.
+    """
     now = intervals.where((F.col("vol_start") <= cutoff) & (F.col("vol_end").isNull() | (F.col("vol_end") >= cutoff)))
-    return now.dropDuplicates(["interval_id"]).withColumn("quotes", F.slice("claim_ids", 1, quotes))
+    keys = [c for c in ("interval_id", "subject", "object", "predicate", "value", "vol_start") if c in now.columns]
+    return now.dropDuplicates(keys).withColumn("quotes", F.slice("claim_ids", 1, quotes))
 
 
 def word_chunks(rows: DataFrame, words: str, size: int) -> DataFrame:

@@ -46,6 +46,14 @@ def test_a_verdict_hits_only_its_own_interval_under_a_common_id(spark):
     assert sorted(r.object for r in relations.drop_contradicted(edges, states, {"P": "open"}).collect()) == ["1", "3"]
 
 
+def test_fact_set_keeps_different_intervals_of_a_common_id(spark):
+    from tessera.operators import pages
+
+    rows = [("i_1", 1, "P", "x", 1, None, [1, 2, 3]), ("i_1", 2, "P", "x", 1, None, [4]), ("i_1", 2, "P", "x", 1, None, [4]), ("i_2", 3, "P", "x", 5, None, [5])]
+    iv = spark.createDataFrame(rows, "interval_id string, subject int, predicate string, value string, vol_start int, vol_end int, claim_ids array<long>")
+    assert sorted((r.subject, r.quotes) for r in pages.fact_set(iv, 4, 2).collect()) == [(1, [1, 2]), (2, [4])]
+
+
 def test_conflict_resolution_by_gap(spark):
     rows = claims(spark, [(1, "P", "x", 1, 1, 0.95), (1, "P", "y", 1, 2, 0.80), (2, "P", "x", 1, 3, 0.95), (2, "P", "y", 1, 4, 0.90)])
     out = {r.subject: r.resolution for r in intervals.same_period_conflicts(rows).collect()}
@@ -250,3 +258,14 @@ def test_fold_of_many_equal_rows_compares_sets(spark):
     assert {(r.k, r.item): r.folded for r in got.collect()} == want
     joins = [line for line in plan.splitlines() if "Join Inner" in line and "array_except" in line.lower()]
     assert joins and all("w#" in line for line in joins)  # rows of a key no longer meet all the others
+
+
+def test_disclosure_counts_repeated_lines(spark, tmp_path):
+    from tessera.plans.registry import QUERIES
+    import __spark_entry__  # noqa: F401
+
+    spark.createDataFrame([(1, "alpha beta gamma delta omega")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "alpha\nbeta\ngamma"), (2, "alpha\nother\nalpha\nalpha"), (3, "alpha beta"), (4, "gamma beta alpha"), (5, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["probe_disclosure_class"](spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [2, 4]
