@@ -23,11 +23,9 @@ def scored(spark, sf):
     return R.bm25(table(spark, sf, "documents").select("doc_id", "text"), queries)
 
 
-def near(spark, sf):
-    e = table(spark, sf, "embeddings")
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("embedding").alias("q"))
-    pairs = q.join(e, "label").where("query_id <> vec_id")
-    return pairs.select("query_id", F.col("vec_id").alias("doc_id"), R.cosine(F.col("q"), F.col("embedding")).alias("score"))
+def near(spark, sf, top):
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.col("embedding").alias("vector"))
+    return R.nearest_of_label(e.where("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id"), e, top)
 
 
 @query("retr_bm25_topk", f"WITH {RANKED} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 20")
@@ -37,7 +35,7 @@ def _(spark, sf):
 
 @query("retr_cosine_same_label", f"WITH {COS} SELECT query_id, doc_id, round(score, 6) AS score FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10")
 def _(spark, sf):
-    return R.ranked(near(spark, sf), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"))
+    return R.ranked(near(spark, sf, 10), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
 @query("retr_rank_fusion", f"""WITH {RANKED}, two AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM (SELECT query_id, doc_id, abs(doc_id - 10 * query_id) AS score FROM ranked WHERE rank <= 200))

@@ -54,6 +54,30 @@ def test_fact_set_keeps_different_intervals_of_a_common_id(spark):
     assert sorted((r.subject, r.quotes) for r in pages.fact_set(iv, 4, 2).collect()) == [(1, [1, 2]), (2, [4])]
 
 
+def test_nearest_of_label_equals_force_in_many_tiles(spark, monkeypatch):
+    import random
+
+    draw = random.Random(3)
+    rows = [(i, i % 3 if i % 50 else None, [float(draw.randint(-2, 2)) for _ in range(3)]) for i in range(200)] + [(200, 1, None), (201, 1, [0.0, 0.0, 0.0]), (203, 1, [1.0, None, 1.0]), (204, 1, [1.0, 2.0])]
+    v = spark.createDataFrame(rows, "doc_id long, label int, vector array<float>")
+    pairs = v.where("doc_id % 4 = 0").select(F.col("doc_id").alias("query_id"), "label", F.col("vector").alias("q")).join(v, "label").where("query_id <> doc_id")
+    want = retrieval.ranked(pairs.select("query_id", "doc_id", retrieval.cosine(F.col("q"), F.col("vector")).alias("score")), 7).collect()
+    monkeypatch.setattr(retrieval, "TILE", (5, 9))
+    found = retrieval.nearest_of_label(v.where("doc_id % 4 = 0").withColumnRenamed("doc_id", "query_id"), v, 7)
+    assert found.count() < pairs.count()  # a tile leaves out what can't be among the nearest
+    got = retrieval.ranked(found, 7).collect()
+    assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in got) == sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in want)
+
+
+def test_pages_leave_the_scan_a_few_at_a_time(monkeypatch):
+    import pyarrow as pa
+
+    b = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(["<h1>a</h1><p>b</p>", None, "<p>c</p>", "<p>d</p>"])], names=["id", "html"])
+    monkeypatch.setattr(html, "FEW", 8)
+    groups = list(html._few(b))
+    assert len(groups) == 4 and [r[:3] + r[4:] for g in groups for r in g] == [(1, 0, "h1", "a"), (1, 1, "p", "b"), (3, 0, "p", "c"), (4, 0, "p", "d")]
+
+
 def test_conflict_resolution_by_gap(spark):
     rows = claims(spark, [(1, "P", "x", 1, 1, 0.95), (1, "P", "y", 1, 2, 0.80), (2, "P", "x", 1, 3, 0.95), (2, "P", "y", 1, 4, 0.90)])
     out = {r.subject: r.resolution for r in intervals.same_period_conflicts(rows).collect()}
