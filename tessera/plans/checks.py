@@ -154,13 +154,13 @@ def _(spark, sf):
 @query("idf_weighted_overlap", """WITH d AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS w FROM conversations), f AS (SELECT w, ln((SELECT count(*) FROM conversations) / count(*)::DOUBLE) AS idf FROM d GROUP BY ALL), q AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS w FROM benchmark),
   s AS (SELECT item_id, conv_id, turn, round(sum(idf), 6) AS score FROM q JOIN d USING (w) JOIN f USING (w) GROUP BY ALL) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn) = 1""")
 def _(spark, sf):
-    from tessera.operators.retrieval import tokens
+    from tessera.operators.retrieval import best_overlap, tokens
 
     c = table(spark, sf, "conversations")
-    d = c.select("conv_id", "turn", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
+    d = c.select(F.col("conv_id").alias("a"), F.col("turn").alias("b"), F.array_distinct(tokens(F.col("text"))).alias("words"))
     q = table(spark, sf, "benchmark").select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("w"))
-    f = d.groupBy("w").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(float(c.count())) / F.col("df"))).select("w", "idf")
-    s = d.join(q, "w").join(f, "w").groupBy("item_id", "conv_id", "turn").agg(F.round(F.sum("idf"), 6).alias("score"))
+    f = d.select(F.explode("words").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("df")).withColumn("idf", F.log(F.lit(float(c.count())) / F.col("df"))).select("w", "idf")
+    s = best_overlap(d, q.join(f, "w")).select("item_id", F.col("a").alias("conv_id"), F.col("b").alias("turn"), F.round("score", 6).alias("score"))
     return S.top_k(s, ["item_id"], [F.desc("score"), F.col("conv_id"), F.col("turn")], 1).drop("rank")
 
 

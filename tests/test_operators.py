@@ -69,6 +69,24 @@ def test_nearest_of_label_equals_force_in_many_tiles(spark, monkeypatch):
     assert sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in got) == sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in want)
 
 
+def test_best_overlap_keeps_one_row_an_item_and_task(spark, monkeypatch):
+    import random
+
+    draw = random.Random(4)
+    docs = [(i % 40, i // 40, [w for w in "abcdefg" if draw.random() < 0.4] if i % 13 else None) for i in range(200)]
+    asked = [(i, w, float("bcdefgh".index(w))) for i in range(9) for w in "bcdefgh" if draw.random() < 0.5 or w == "b"]
+    want = {}
+    for i in {r[0] for r in asked}:
+        of = {w: x for j, w, x in asked if j == i}
+        want[i] = min((-sum(of.get(w, 0) for w in ws), a, b) for a, b, ws in docs if ws and set(ws) & set(of))
+    d = spark.createDataFrame(docs, "a long, b long, words array<string>").repartition(3)
+    for most in (1000, 2):
+        monkeypatch.setattr(retrieval, "ITEMS", most)
+        rows = retrieval.best_overlap(d, spark.createDataFrame(asked, "item_id long, w string, idf double")).collect()
+        assert len(rows) <= 3 * len(want)
+        assert {i: min((-r.score, r.a, r.b) for r in rows if r.item_id == i) for i in want} == want
+
+
 def test_pages_leave_the_scan_a_few_at_a_time(monkeypatch):
     import pyarrow as pa
 
