@@ -18,9 +18,9 @@ COS = """cs AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, list_dot_produc
   FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)"""
 
 
-def scored(spark, sf):
+def searched(spark, sf, top):
     queries = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return R.bm25(table(spark, sf, "documents").select("doc_id", "text"), queries)
+    return R.ranked(R.bm25(table(spark, sf, "documents").select("doc_id", "text"), queries, top=top), top)
 
 
 def near(spark, sf, top):
@@ -30,7 +30,7 @@ def near(spark, sf, top):
 
 @query("retr_bm25_topk", f"WITH {RANKED} SELECT query_id, doc_id, rank, round(score, 6) AS score FROM ranked WHERE rank <= 20")
 def _(spark, sf):
-    return R.ranked(scored(spark, sf), 20).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
+    return searched(spark, sf, 20).select("query_id", "doc_id", "rank", F.round("score", 6).alias("score"))
 
 
 @query("retr_cosine_same_label", f"WITH {COS} SELECT query_id, doc_id, round(score, 6) AS score FROM cs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10")
@@ -41,7 +41,7 @@ def _(spark, sf):
 @query("retr_rank_fusion", f"""WITH {RANKED}, two AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score, doc_id) AS rank FROM (SELECT query_id, doc_id, abs(doc_id - 10 * query_id) AS score FROM ranked WHERE rank <= 200))
 SELECT query_id, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 200 UNION ALL SELECT query_id, doc_id, rank FROM two WHERE rank <= 50) GROUP BY ALL""")
 def _(spark, sf):
-    one = R.ranked(scored(spark, sf), 200)
+    one = searched(spark, sf, 200)
     two = R.ranked(one.select("query_id", "doc_id", (-F.abs(F.col("doc_id") - 10 * F.col("query_id"))).cast("double").alias("score")), 50)
     return R.fuse([one, two]).withColumn("score", F.round("score", 9))
 
@@ -51,7 +51,7 @@ def _(spark, sf):
         SELECT n.*, g.used + CASE WHEN g.used + n.size <= 2000 THEN n.size ELSE 0 END, g.used + n.size <= 2000 FROM g JOIN n ON n.query_id = g.query_id AND n.rank = g.rank + 1)
 SELECT query_id, doc_id, rank FROM g WHERE taken""")
 def _(spark, sf):
-    top = R.ranked(scored(spark, sf), 30).select("query_id", "doc_id", "rank").join(table(spark, sf, "documents").select("doc_id", F.floor(F.col("n_chars") / 4).alias("size")), "doc_id")
+    top = searched(spark, sf, 30).select("query_id", "doc_id", "rank").join(table(spark, sf, "documents").select("doc_id", F.floor(F.col("n_chars") / 4).alias("size")), "doc_id")
     out = S.fill_skipping(top, ["query_id"], [F.col("rank")], "size", 2000, "doc_id")
     return out.where("taken").select("query_id", "doc_id", "rank")
 

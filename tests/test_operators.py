@@ -87,6 +87,45 @@ def test_best_overlap_keeps_one_row_an_item_and_task(spark, monkeypatch):
         assert {i: min((-r.score, r.a, r.b) for r in rows if r.item_id == i) for i in want} == want
 
 
+def test_bm25_keeps_the_best_rows_of_a_query_and_task(spark, monkeypatch):
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    draw = random.Random(5)
+    text = lambda n: draw.choice([" ", "\n", "-", ""]).join(draw.choice(["a", "the", "Cat", "über", "x1y", "q", "\0b", "zz"]) for _ in range(n))
+    docs = [(i, text(draw.choice([0, 1, 5, 30])) if i % 17 else None) for i in range(600)] + [(600 + i, "the cat") for i in range(300)]
+    asked = [(i, text(4)) for i in range(12)] + [(20, None), (21, "unheard of")]
+    words = lambda x: re.findall("[a-z]+", (x or "").lower())
+
+    def scores(docs):
+        """By hand; rows of one id are one document, whose terms count for the length of each."""
+        lens = [(d, len(words(x))) for d, x in docs if x is not None]
+        tf = Counter((w, d) for d, x in docs for w in words(x))
+        df, mean = Counter(w for w, _ in tf), sum(n for _, n in lens) / len(lens)
+        of = {}
+        for q, x in asked:
+            for w in set(words(x)):
+                for d, n in lens:
+                    if (w, d) in tf and d is not None:
+                        idf = math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5))
+                        of[q, d] = of.get((q, d), 0) + idf * tf[w, d] * 2.5 / (tf[w, d] + 1.5 * (0.25 + 0.75 * n / mean))
+        return of
+
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    for rows in (docs, [*docs, (None, "the cat"), (None, "q"), (5, "the q the"), (5, None), (600, "the cat")]):
+        of = scores(rows)
+        best = [(q, d, n + 1) for q in {q for q, _ in of} for n, (_, d) in enumerate(sorted((-round(x, 9), d) for (p, d), x in of.items() if p == q)[:7])]
+        d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        for most in (1000, 5):
+            monkeypatch.setattr(retrieval, "ITEMS", most)
+            assert {(r.query_id, r.doc_id): r.score for r in retrieval.bm25(d, queries).collect()} == pytest.approx(of)
+            found = retrieval.bm25(d, queries, top=7)
+            assert found.count() <= 4 * 7 * len(asked) < len(of)  # no pair leaves its task but the best
+            assert sorted((r.query_id, r.doc_id, r["rank"]) for r in retrieval.ranked(found, 7).collect()) == sorted(best)
+
+
 def test_pages_leave_the_scan_a_few_at_a_time(monkeypatch):
     import pyarrow as pa
 
